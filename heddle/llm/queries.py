@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe
+from heddle.llm import bpe, exact, mixing, warc
+from heddle.llm.shared import Stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,8 +29,86 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality class, its smallest id and size for every document."""
+    return exact.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS turn,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS cap FROM s),
+o AS (
+  SELECT *, cap / weight AS ratio,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS n,
+         (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM r WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, CASE WHEN l IS NULL OR ratio < l THEN CAST(cap AS DOUBLE) ELSE l * weight END AS target
+  FROM o, (SELECT arg_min(level, n) AS l FROM o WHERE level <= ratio)),
+q AS (
+  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS UNBOUNDED PRECEDING) AS cum
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+i AS (
+  SELECT q.*, p, CASE WHEN target > 0 THEN (source_size * p + cum) / target ELSE 0.0 END AS finish
+  FROM q, (VALUES (0), (1), (2)) AS passes(p)),
+c AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, turn, size, p ROWS UNBOUNDED PRECEDING) AS spent FROM i WHERE size > 0)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST(coalesce((SELECT sum(c.size) FROM c WHERE c.doc_id = d.doc_id AND c.spent <= (SELECT sum(size) FROM d)), 0) AS BIGINT) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, read the archive back and report what each record says."""
+    root = Stage(spark, "warc").path("archive")
+    warc.write_archive(_table(spark, sf_dir, "pages"), root)
+    return warc.parse_records(warc.read_archive(spark, root)).select(
+        F.col("record_id").alias("page_id"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) % 32 + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM f
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_source_mix": op8_source_mix,
+    "op9_warc_archive": op9_warc_archive,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": OP4_SQL,
+    "op8_source_mix": OP8_SQL,
+    "op9_warc_archive": OP9_SQL,
+}
