@@ -39,10 +39,10 @@ _AWKWARD = re.compile(r"\s ")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 
 _NEVER = np.int64(1 << 40)
-_CACHE_ENTRIES = 1_000_000
+_CACHE_ENTRIES = 500_000
 _TOGETHER_BYTES = 40
 _CACHED_CHARS = 48
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -186,7 +186,7 @@ class SpeculativeBpe:
         if len(fresh):
             verdict = ~self._crossed(fresh >> 32, fresh & 0xFFFFFFFF)
             good[~seen] = verdict
-            if len(self.known_keys) > 4_000_000:
+            if len(self.known_keys) > 1_000_000:
                 self.known_keys, self.known_good = np.zeros(0, np.int64), np.zeros(0, bool)
             merged = np.concatenate([self.known_keys, fresh])
             order = np.argsort(merged, kind="stable")
