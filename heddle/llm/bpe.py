@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.tables import NEVER, PairTable
+
 #: Fixed values of the byte-level pre-tokeniser: its pattern, with Unicode white space spelt out.
 _WS = r"\t-\r \x85\xa0  -     　"
 _PRETOKEN = regex.compile(
@@ -38,7 +40,6 @@ _PRETOKEN = regex.compile(
 _AWKWARD = re.compile(r"\s ")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 
-_NEVER = np.int64(1 << 40)
 _CACHE_ENTRIES = 500_000
 _TOGETHER_BYTES = 40
 _CACHED_CHARS = 48
@@ -52,42 +53,6 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class PairTable:
-    """Merge ranks by token pair: open addressing in numpy arrays, read for many pairs at once."""
-
-    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
-        self.mask = (1 << (len(merges) * 4).bit_length()) - 1
-        self.keys = np.full(self.mask + 1, -1, np.int64)
-        self.rank = np.full(self.mask + 1, _NEVER, np.int64)
-        self.made = np.full(self.mask + 1, -1, np.int64)
-        keys = np.array([(a << 32) | b for a, b in merges], np.int64)
-        rank, made = (np.array([m[k] for m in merges.values()], np.int64) for k in (0, 1))
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):  # each free slot takes one of the keys that want it, the others move on
-            free = self.keys[slot[left]] == -1
-            first = np.unique(slot[left[free]], return_index=True)[1]
-            put = left[free][first]
-            self.keys[slot[put]], self.rank[slot[put]], self.made[slot[put]] = keys[put], rank[put], made[put]
-            left = np.setdiff1d(left, put, assume_unique=True)
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed >> np.uint64(20)) & np.uint64(self.mask)).astype(np.int64)
-
-    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (``_NEVER`` if there is none) and slot of each pair; the slot leads to the token made."""
-        keys = (a << 32) | b
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        moving = np.nonzero((there != keys) & (there != -1))[0]
-        while len(moving):
-            slot[moving] = (slot[moving] + 1) & self.mask
-            there = self.keys[slot[moving]]
-            moving = moving[(there != keys[moving]) & (there != -1)]
-        return np.where(self.keys[slot] == keys, self.rank[slot], _NEVER), slot
-
-
 class SpeculativeBpe:
     """One vocabulary with its caches; lives as long as the Python worker."""
 
@@ -108,7 +73,7 @@ class SpeculativeBpe:
         raw = [(bytes(byte_of[c] for c in a), bytes(byte_of[c] for c in b)) for a, b in pairs]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        made_at = np.full(size, _NEVER, np.int64)
+        made_at = np.full(size, NEVER, np.int64)
         for rank, (a, b) in enumerate(raw):
             made = vocab[a + b]
             self.merges.setdefault((vocab[a], vocab[b]), (rank, made))
@@ -126,13 +91,13 @@ class SpeculativeBpe:
     @staticmethod
     def _edge(child: np.ndarray, made_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's edge from the token itself downwards, and the rank at which each piece is absorbed."""
-        level, until = np.arange(len(child)), np.full(len(child), _NEVER, np.int64)
+        level, until = np.arange(len(child)), np.full(len(child), NEVER, np.int64)
         edges, untils = [], []
         while (level >= 0).any():
             edges.append(level)
             untils.append(until)
             inside = level >= 0
-            until = np.where(inside, made_at[level], _NEVER)
+            until = np.where(inside, made_at[level], NEVER)
             level = np.where(inside, child[level], -1)
         return np.stack(edges), np.stack(untils)
 
@@ -170,7 +135,7 @@ class SpeculativeBpe:
                 if not len(rows):
                     break
                 rank, _ = self.pairs.find(self.right_edge[i][a[rows]], self.left_edge[j][b[rows]])
-                bad[rows] |= (rank < self.right_until[i][a[rows]]) & (rank <= self.left_until[j][b[rows]]) & (rank < _NEVER)
+                bad[rows] |= (rank < self.right_until[i][a[rows]]) & (rank <= self.left_until[j][b[rows]]) & (rank < NEVER)
         return bad
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,7 +205,7 @@ class SpeculativeBpe:
         sizes = np.fromiter(map(len, words), np.int64, n)
         inside = np.arange(width + 1) < sizes[:, None]
         tokens[inside] = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
-        ranks = np.full((n, width), _NEVER, np.int64)
+        ranks = np.full((n, width), NEVER, np.int64)
         slots = np.zeros((n, width), np.int64)
         both = inside[:, 1:]
         ranks[both], slots[both] = self.pairs.find(tokens[:, :-1][both], tokens[:, 1:][both])
@@ -249,7 +214,7 @@ class SpeculativeBpe:
         while len(rows):
             at = ranks.argmin(axis=1)
             line = np.arange(len(rows))
-            ready = ranks[line, at] == _NEVER
+            ready = ranks[line, at] == NEVER
             for k in np.nonzero(ready)[0].tolist():
                 done[rows[k]] = tokens[k][tokens[k] >= 0]
             if ready.any():
@@ -264,11 +229,11 @@ class SpeculativeBpe:
             tokens[line, at] = made
             ranks[:, :-1] = np.where(later[:, :-1], ranks[:, 1:], ranks[:, :-1])
             slots[:, :-1] = np.where(later[:, :-1], slots[:, 1:], slots[:, :-1])
-            ranks[:, -1] = _NEVER
+            ranks[:, -1] = NEVER
             for place in (at - 1, at):
                 good = place >= 0
                 good[good] &= tokens[line[good], place[good] + 1] >= 0
-                ranks[line[place >= 0], place[place >= 0]] = _NEVER
+                ranks[line[place >= 0], place[place >= 0]] = NEVER
                 ranks[line[good], place[good]], slots[line[good], place[good]] = self.pairs.find(
                     tokens[line[good], place[good]], tokens[line[good], place[good] + 1]
                 )
