@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, exact, langid, mixing, simhash, warc
+from heddle.llm import bpe, exact, hmm, langid, mixing, simhash, warc
 from heddle.llm.shared import Stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,13 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov scores of every document, learnt from nine folds of ten."""
+    held_out = langid.fold(F.col("doc_id"), 10) == 0
+    found = hmm.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_hmm_scores": op6_hmm_scores,
     "op8_source_mix": op8_source_mix,
     "op9_warc_archive": op9_warc_archive,
     "op10_language_id": op10_language_id,
