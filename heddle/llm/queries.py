@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, exact, hmm, langid, mixing, simhash, warc
+from heddle.llm import bpe, exact, graph, hmm, langid, mixing, simhash, warc
 from heddle.llm.shared import Stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,11 @@ def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of links, component and decision for every vector."""
+    return graph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_hmm_scores": op6_hmm_scores,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_warc_archive": op9_warc_archive,
     "op10_language_id": op10_language_id,
