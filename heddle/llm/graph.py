@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.components import connected_components
-from heddle.llm.shared import Stage
+from heddle.llm.shared import Stage, shuffle_width
 
 _QUERY_BLOCK = 256
+_BACK, _BACK_MOST = 3, 32
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -35,29 +36,30 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def robust_prune(vectors: np.ndarray, degree: int, candidates: int, alpha: float) -> np.ndarray:
     """Out-neighbours of each unit vector, filled up with -1.
 
-    Candidates are the nearest vectors and a few random ones (long edges that keep the
-    graph connected). In order of distance, a candidate is kept unless a kept neighbour
-    is ``alpha`` times closer to it than the vector itself is.
+    In order of distance, one of the nearest vectors is kept unless a kept neighbour is
+    ``alpha`` times closer to it than the vector itself is. A third of the degree goes to
+    random vectors: long edges, without which a group of more near copies than the
+    degree would be an island.
     """
     n = len(vectors)
     near = min(candidates, n - 1)
+    long = degree // 3
     out = np.full((n, degree), -1, np.int64)
     if near < 1:
         return out
-    far = np.random.default_rng(n).integers(0, n, (n, 8))
+    out[:, degree - long :] = np.random.default_rng(n).integers(0, n, (n, long))
+    degree -= long
     for start in range(0, n, _QUERY_BLOCK):
         rows = np.arange(start, min(n, start + _QUERY_BLOCK))
         cosine = vectors[rows] @ vectors.T
         cosine[np.arange(len(rows)), rows] = -np.inf
         top = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
-        pool = np.concatenate([top, far[rows]], axis=1)
-        distance = np.maximum(0.0, 2.0 - 2.0 * np.take_along_axis(cosine, pool, axis=1))
-        distance[pool == rows[:, None]] = np.inf
+        distance = np.maximum(0.0, 2.0 - 2.0 * np.take_along_axis(cosine, top, axis=1))
         order = np.argsort(distance, axis=1)
-        pool, distance = np.take_along_axis(pool, order, axis=1), np.take_along_axis(distance, order, axis=1)
+        pool, distance = np.take_along_axis(top, order, axis=1), np.take_along_axis(distance, order, axis=1)
         points = vectors[pool]
         between = np.maximum(0.0, 2.0 - 2.0 * np.einsum("bid,bjd->bij", points, points))
-        alive = np.isfinite(distance)
+        alive = np.ones(distance.shape, bool)
         count = np.zeros(len(rows), np.int64)
         for k in range(pool.shape[1]):
             keep = np.nonzero(alive[:, k] & (count < degree))[0]
@@ -65,7 +67,20 @@ def robust_prune(vectors: np.ndarray, degree: int, candidates: int, alpha: float
             count[keep] += 1
             # Squared distances, hence alpha squared.
             alive[keep] &= alpha * alpha * between[keep, k] > distance[keep]
-    return out
+    return _with_way_back(out, _BACK)
+
+
+def _with_way_back(graph: np.ndarray, nearest: int) -> np.ndarray:
+    """Add an edge back from each vector's first ``nearest`` neighbours, so that few lack a way in from close by."""
+    to, by = np.repeat(np.arange(len(graph)), nearest), graph[:, :nearest].ravel()
+    to, by = to[by >= 0], by[by >= 0]
+    order = np.argsort(by, kind="stable")
+    to, by = to[order], by[order]
+    slot = np.arange(len(by)) - np.searchsorted(by, by)
+    to, by, slot = to[slot < _BACK_MOST], by[slot < _BACK_MOST], slot[slot < _BACK_MOST]
+    back = np.full((len(graph), 1 + slot.max(initial=0)), -1, np.int64)
+    back[by, slot] = to
+    return np.concatenate([graph, back], axis=1)
 
 
 def range_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +211,8 @@ def near_duplicates(
     degree: int = 24,
     candidates: int = 48,
     alpha: float = 1.2,
-    beam: int = 32,
-    recall: float = 0.99,
+    beam: int = 16,
+    recall: float = 0.98,
     sample_rows: int = 20_000,
     most_centroids: int = 4096,
 ) -> DataFrame:
@@ -249,7 +264,9 @@ def near_duplicates(
         reps = shard["rep"].to_numpy()
         return pd.DataFrame({"rep": reps, "near": [reps[g[g >= 0]] for g in graph]})
 
-    lists = members.groupBy("label", "cluster", "block").applyInPandas(build, "rep bigint, near array<bigint>")
+    # A number of tasks by shards, as a shard's bytes say little about its work.
+    tasks = max(shuffle_width(spark), min(10_000, sizes.agg(F.sum("blocks")).first()[0] or 1))
+    lists = members.repartition(tasks, "label", "cluster", "block").groupBy("label", "cluster", "block").applyInPandas(build, "rep bigint, near array<bigint>")
     united = stage.table(lists.groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "lists")
 
     # Each shard gets its block's vectors with their united lists, and every vector of the cluster as a query.
@@ -257,6 +274,7 @@ def near_duplicates(
     others = members.where("blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block")
     queries = others.withColumn("block", F.col("to")).drop("to").withColumn("near", F.lit(None).cast("array<bigint>")).withColumn("is_data", F.lit(False))
     columns = ["label", "cluster", "block", "rep", "copies", "vector", "clusters", "near", "is_data"]
+    searched = data.select(columns).unionByName(queries.select(columns)).repartition(tasks, "label", "cluster", "block")
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         own = shard[shard["is_data"]]
@@ -289,7 +307,7 @@ def near_duplicates(
         return pd.DataFrame({"rep": ids, "links": links, "root": root})
 
     found = stage.table(
-        data.select(columns).unionByName(queries.select(columns)).groupBy("label", "cluster", "block").applyInPandas(search, "rep bigint, links bigint, root bigint"),
+        searched.groupBy("label", "cluster", "block").applyInPandas(search, "rep bigint, links bigint, root bigint"),
         "found",
     )
     components = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), stage)
