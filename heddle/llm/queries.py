@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, exact, graph, hmm, langid, mixing, simhash, warc
+from heddle.llm import bpe, exact, graph, hmm, langid, mixing, simhash, templates, warc
 from heddle.llm.shared import Stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,36 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and what remains of every document."""
+    found = templates.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+t AS (
+  SELECT doc_id, i, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM l),
+p AS (SELECT doc_id, i, concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:3], ' ')) AS leaf, array_to_string(w, ' ') AS line FROM t WHERE len(w) > 0),
+c AS (SELECT * FROM p WHERE leaf IN (SELECT leaf FROM p GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5)),
+d AS (SELECT leaf, line, count(DISTINCT doc_id) AS docs FROM c GROUP BY leaf, line),
+s AS (SELECT leaf, line, docs, unnest(range(1, len(x) + 1)) AS place, unnest(x) AS token FROM (SELECT *, string_split(line, ' ') AS x FROM d)),
+k AS (SELECT leaf, place, token FROM s WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(docs) >= 5),
+m AS (
+  SELECT s.leaf, s.line, string_agg(CASE WHEN k.token IS NULL THEN '<*>' ELSE s.token END, ' ' ORDER BY s.place) AS template
+  FROM s LEFT JOIN k ON s.leaf = k.leaf AND s.place = k.place AND s.token = k.token
+  GROUP BY s.leaf, s.line HAVING count(k.token) >= 0.5 * count(*)),
+h AS (SELECT c.doc_id, c.i, c.leaf, m.template FROM c JOIN m ON c.leaf = m.leaf AND c.line = m.line),
+x AS (SELECT doc_id, i FROM h WHERE (leaf, template) IN (SELECT (leaf, template) FROM h GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 5)),
+r AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text, count(*) AS n FROM l ANTI JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id),
+n AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines FROM l GROUP BY doc_id)
+SELECT n.doc_id, n_lines, CAST(n_lines - coalesce(r.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(r.text, '')) AS kept_sha256
+FROM n LEFT JOIN r ON n.doc_id = r.doc_id
+"""
+
+
 def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and hidden Markov scores of every document, learnt from nine folds of ten."""
     held_out = langid.fold(F.col("doc_id"), 10) == 0
@@ -132,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_templates": op5_line_templates,
     "op6_hmm_scores": op6_hmm_scores,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_source_mix": op8_source_mix,
@@ -141,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_line_templates": OP5_SQL,
     "op8_source_mix": OP8_SQL,
     "op9_warc_archive": OP9_SQL,
 }
