@@ -78,6 +78,31 @@ def merge_tree(entries: DataFrame, fan_in: int = 8) -> DataFrame:
     return runs.drop("rank", "slot")
 
 
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select(*_KEY, F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("rows"))
+
+
+def _keyed(df: DataFrame, text: Column) -> DataFrame:
+    plain = normalised(text)
+    return df.withColumns(
+        {"digest": F.unhex(F.sha2(plain.cast("binary"), 256)), "n_bytes": F.octet_length(plain), "second": F.xxhash64(plain)}
+    )
+
+
+def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+    """The rows of ``df``, with its columns, that stay: of equal texts the one with the smallest id.
+
+    Equality and nulls as in ``exact_dedup``; of equal rows that also share the id, one stays.
+    """
+    held = df.select(F.col(id_col).alias("_id"), F.struct(*[df[c] for c in df.columns]).alias("_row"))
+    held = _keyed(held, F.col("_row")[text_col])
+    classes = merge_tree(_entries(held), fan_in)
+    names = {k: f"_{k}" for k in (*_KEY, "keep_id")}
+    classes = classes.select(*[F.col(k).alias(v) for k, v in names.items()])
+    stays = held.join(classes, [held[k] == classes[names[k]] for k in _KEY] + [F.col("_id").eqNullSafe(F.col("_keep_id"))], "left_semi")
+    return stays.dropDuplicates([*_KEY, "_id"]).select("_row.*")
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
     """``(id_col, keep_id, group_size, kept, text_sha256)``: one row for every input row.
 
@@ -86,14 +111,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     ``group_size`` and share the decision; a null id never wins over another id. An empty
     table gives no rows; other columns, whatever their names, are not read.
     """
-    plain = normalised(F.col("_text"))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select(
-        "_id",
-        F.unhex(F.sha2(plain.cast("binary"), 256)).alias("digest"),
-        F.octet_length(plain).alias("n_bytes"),
-        F.xxhash64(plain).alias("second"),
-    )
-    classes = merge_tree(rows.select(*_KEY, F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("rows")), fan_in)
+    rows = _keyed(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.col("_text")).drop("_text")
+    classes = merge_tree(_entries(rows), fan_in)
     return rows.join(classes, _KEY).select(
         F.col("_id").alias(id_col),
         "keep_id",

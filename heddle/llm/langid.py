@@ -269,6 +269,37 @@ class _Scorer:
         return total / total.sum(axis=1, keepdims=True)
 
 
+def _predictions(scorer: "_Scorer | None", languages: list[str], texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text; ``und`` with 0 where there is no letter or no model."""
+    words = [letters(t) for t in texts]
+    if scorer is None:
+        return ["und"] * len(words), np.zeros(len(words))
+    chances = scorer.posteriors(words)
+    has = np.fromiter(map(bool, words), bool, len(words))
+    best = [languages[k] if h else "und" for k, h in zip(chances.argmax(axis=1).tolist(), has.tolist(), strict=True)]
+    return best, np.where(has, chances.max(axis=1), 0.0)
+
+
+def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows of ``df``, all columns, whose language is identified with at least ``least_score``; no shuffle.
+
+    Rejected are null texts, texts without a letter, and texts that two languages share evenly.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    column = df.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        scorer = _Scorer(known) if known.languages else None
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                best, score = _predictions(scorer, known.languages, part.column(column).to_pylist())
+                yield part.filter(pa.array([b != "und" and s >= least_score for b, s in zip(best, score.tolist(), strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, lang_pred, score)``: one row for every input row.
 
@@ -285,14 +316,7 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
-                texts = [letters(t) for t in part.column(1).to_pylist()]
-                if scorer is None:
-                    best, score = ["und"] * len(texts), np.zeros(len(texts))
-                else:
-                    chances = scorer.posteriors(texts)
-                    has = np.fromiter(map(bool, texts), bool, len(texts))
-                    best = [known.languages[k] if h else "und" for k, h in zip(chances.argmax(axis=1).tolist(), has.tolist(), strict=True)]
-                    score = np.where(has, chances.max(axis=1), 0.0)
+                best, score = _predictions(scorer, known.languages, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))

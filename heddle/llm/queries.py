@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, exact, graph, hmm, langid, mixing, simhash, templates, warc
+from heddle.llm import bpe, exact, graph, hmm, langid, mixing, repeats, simhash, templates, warc
 from heddle.llm.shared import Stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from every document, and the digest of what is left."""
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equality class, its smallest id and size for every document."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -161,6 +167,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_repeated_strings": op3_repeated_strings,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_templates": op5_line_templates,
     "op6_hmm_scores": op6_hmm_scores,

@@ -235,3 +235,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
+    """The rows of ``df``, with its columns, whose id is the smallest of their component: one document of each group.
+
+    Nulls as in ``near_duplicates``; ids should be unique, rows that share a kept id all stay.
+    """
+    found = near_duplicates(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", bits)
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id"))
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
