@@ -55,4 +55,4 @@ def bloom_hashes(n: Column, p: float) -> Column:
 
 def addresses(text: Column) -> Column:
     """Trimmed, not empty parts of a comma-separated list."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
