@@ -1,35 +1,17 @@
-"""What the operators of this subpackage have in common: staged tables and small column helpers."""
+"""What the operators of this subpackage have in common: staged tables and fixed patterns."""
 
 from __future__ import annotations
 
-import math
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from heddle.workspace import shared_dir
 
 #: White space of every contract here: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (a local session, as in tests) a temporary folder
-    is made once a session and becomes the checkpoint directory.
-    """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-heddle-", dir="/tmp"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
 class Stage:
     """Tables that cut lineage, written as Parquet in the shared folder and read again.
 
@@ -62,12 +44,3 @@ class Stage:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def power_of_two(n: float) -> int:
-    return 1 << max(0, math.ceil(math.log2(max(1, n))))
-
-
-def words_of(text: Column) -> Column:
-    """White-space separated words of a text; an empty array for null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
