@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.components import connected_components
-from heddle.llm.shared import Stage, shuffle_width
+from heddle.llm.shared import Stage, sampled, shuffle_width
 
 _QUERY_BLOCK = 256
 _BACK, _BACK_MOST = 3, 32
@@ -180,7 +180,7 @@ def centroids(distinct: DataFrame, shard_rows: int, sample_rows: int, most: int,
     sizes = dict(map(tuple, distinct.groupBy("label").count().collect()))
     wanted = {k: max(1, round(n / shard_rows)) for k, n in sizes.items()}
     squeeze = max(1.0, sum(wanted.values()) / most)
-    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("label", "vector").toPandas()
+    sample = sampled(distinct, "rep", sample_rows, sum(sizes.values())).select("label", "vector").toPandas()
     out = {}
     for label, n in wanted.items():
         own = sample[sample["label"] == label]

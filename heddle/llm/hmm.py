@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.shared import Stage
+from heddle.llm.shared import Stage, sampled
 
 _FLUSH_WORDS = 300_000
 _SAMPLED_WINDOWS = 8
@@ -66,6 +66,25 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The words with the largest counts, at most ``most``; ties by word.
+
+    A histogram of counts (sixteen bins an octave, a few hundred rows) picks the counts
+    to ask for, so the driver gets five times ``most`` words at the worst, whatever the
+    number of tasks. A last bin of more than four times ``most`` words is left out.
+    """
+    bins = counts.select(F.floor(F.log2("c") * 16).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)))
+    least, held = None, 0
+    for b, n in sorted(map(tuple, bins.collect()), reverse=True):
+        if held >= most or n > 4 * most:
+            break
+        least, held = b, held + n
+    if least is None:
+        return []
+    found = counts.where(F.floor(F.log2("c") * 16) >= least).select("word", "c").collect()
+    return sorted(map(tuple, found), key=lambda x: (-x[1], x[0]))[:most]
+
+
 def encode(df: DataFrame, frequent: list[str]) -> DataFrame:
     """``(id, learn, ids, rare)`` from ``(id, learn, text)``: two bytes for each token, and the words that have no id."""
     shared = df.sparkSession.sparkContext.broadcast({w.encode(): k + 2 for k, w in enumerate(frequent)})
@@ -242,7 +261,7 @@ def score(
     ends = source.where("learn").count()
     totals = counts.agg(F.count(F.lit(1)), F.sum("c")).first()
     distinct, n = totals[0] + (ends > 0), (totals[1] or 0) + ends
-    top = [tuple(r) for r in counts.orderBy(F.desc("c"), "word").limit(frequent_words).collect()]
+    top = most_frequent(counts, frequent_words)
     frequent = [w for w, _ in top]
     c = np.array([ends, 0, *[k for _, k in top]], float)
     # The types that share the rare emission: seen ones without an id, and one unseen.
@@ -258,7 +277,7 @@ def score(
     encoded = stage.table(encode(source, frequent), "encoded")
     # A sample of bounded size: so many texts, and so many tokens of each.
     some = F.substring("ids", 1, 2 * window * _SAMPLED_WINDOWS).alias("ids")
-    picked = encoded.where("learn").orderBy(F.xxhash64("id"), "id").limit(sample_windows // 4).select(some).collect()
+    picked = sampled(encoded.where("learn"), "id", sample_windows // 4, ends).select(some).collect()
     sample = windows([bytes(r[0]) for r in picked], window)[:sample_windows]
     model = seeded(sample, unigram, states, sample_rounds)
     for _ in range(rounds):
