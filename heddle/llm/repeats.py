@@ -86,14 +86,19 @@ def keyed_runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _anchor_rows(length: int):
+    """Each key of a document once, with its number of places."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             for start in range(0, len(batch), 500):
-                keys = [keyed_runs(t.as_py().encode(), length)[0] for t in texts.slice(start, 500)]
+                keys, times = zip(*(np.unique(keyed_runs(t.as_py().encode(), length)[0], return_counts=True) for t in texts.slice(start, 500)), strict=True)
                 sizes = np.fromiter(map(len, keys), np.int64, len(keys))
                 row = pa.array(np.repeat(np.arange(start, start + len(keys)), sizes))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(keys))], ["id", "mark", "key"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(keys)), pa.array(np.concatenate(times))],
+                    ["id", "mark", "key", "places"],
+                )
 
     return run
 
@@ -247,8 +252,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     source = source.select("id", F.xxhash64("text").alias("mark"), "text")
-    anchors = stage.table(source.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), f"id {kind}, mark bigint, key bigint"), "anchors")
-    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    anchors = stage.table(source.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), f"id {kind}, mark bigint, key bigint, places bigint"), "anchors")
+    shared = anchors.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
     hits = anchors.join(shared, "key", "left_semi").groupBy("id", "mark").agg(F.collect_set("key").alias("keys"))
     packed = source.mapInArrow(_packed, f"id {kind}, mark bigint, packed binary")
 
@@ -260,6 +265,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = stage.table(
         cut.mapInArrow(_cut_strings(length), f"id {kind}, mark bigint, key bigint, digest binary, start bigint, gram int, bytes binary"), "strings"
     )
+    stage.drop(anchors)
     strings = cut.groupBy("key", "digest").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"), F.max("gram").alias("gram"))
     strings = stage.table(strings, "different")
 
@@ -280,6 +286,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     often = windows.groupBy("key", "gram", "name").agg(F.sum("copies").alias("n")).where("n > 1").select("key", "gram", "name")
     single = windows.join(often, ["key", "gram", "name"], "left_semi").select("key", "digest", F.array(F.col("window"), F.col("window") + 1).alias("runs"))
     verdicts = stage.table(verdicts.unionAll(single), "verdicts")
+    stage.drop(strings)
 
     places = cut.select("id", "mark", "key", "digest", "start").join(verdicts, ["key", "digest"])
     shifted = F.transform("runs", lambda r: (r + F.col("start")).cast("int"))
