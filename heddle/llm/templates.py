@@ -29,6 +29,10 @@ def masked_tokens(line: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
 
 
+def _leaf(depth: int) -> Column:
+    return F.concat_ws(" ", F.size("tokens"), F.slice("tokens", 1, depth))
+
+
 def drop_boilerplate(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 5, min_constant: float = 0.5
 ) -> DataFrame:
@@ -43,12 +47,18 @@ def drop_boilerplate(
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\n"), F.col("text"))))
     rows = rows.withColumn("key", key)
+    # First without the lines themselves: a hash of each line's leaf tells which lines can matter.
     lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     tokens = lines.select("key", "at", masked_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    leaf = F.concat_ws(" ", F.size("tokens"), F.slice("tokens", 1, depth))
-    placed = tokens.select("key", "at", leaf.alias("leaf"), F.concat_ws(" ", "tokens").alias("line"))
-    reached = placed.select("leaf", "key").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    candidates = stage.table(placed.join(reached, "leaf", "left_semi"), "candidates")
+    hashed = stage.table(tokens.select("key", "at", F.xxhash64(_leaf(depth)).alias("leaf_hash")), "hashed")
+    reached = hashed.select("leaf_hash", "key").distinct().groupBy("leaf_hash").count().where(F.col("count") >= min_docs).select("leaf_hash")
+    wanted = hashed.join(reached, "leaf_hash", "left_semi").groupBy("key").agg(F.collect_set("at").alias("places"))
+    held = rows.join(wanted, "key").select("key", "places", F.split("text", "\n").alias("lines"))
+    picked = F.transform("places", lambda p: F.struct(p.alias("at"), F.get("lines", p).alias("line")))
+    held = held.select("key", F.size("lines").alias("n_lines"), F.explode(picked).alias("found"))
+    tokens = held.select("key", "n_lines", "found.at", masked_tokens(F.col("found.line")).alias("tokens"))
+    candidates = tokens.select("key", "n_lines", "at", _leaf(depth).alias("leaf"), F.concat_ws(" ", "tokens").alias("line"))
+    candidates = stage.table(candidates, "candidates")
 
     different = candidates.groupBy("leaf", "line").agg(F.countDistinct("key").alias("docs"))
     different = stage.table(different.withColumn("number", F.unhex(F.md5(F.concat("leaf", F.lit("\n"), "line")))), "different")
@@ -64,20 +74,22 @@ def drop_boilerplate(
     templates = templates.where(F.col("constants") >= min_constant * F.col("n")).select(
         "number", F.unhex(F.md5(F.concat("leaf", F.lit("\n"), F.concat_ws(" ", "parts.token")))).alias("template")
     )
-    numbered = candidates.select("key", "at", F.unhex(F.md5(F.concat("leaf", F.lit("\n"), "line"))).alias("number"))
-    matched = stage.table(numbered.join(templates, "number").select("key", "at", "template"), "matched")
+    numbered = candidates.select("key", "n_lines", "at", F.unhex(F.md5(F.concat("leaf", F.lit("\n"), "line"))).alias("number"))
+    matched = stage.table(numbered.join(templates, "number").select("key", "n_lines", "at", "template"), "matched")
     recurring = matched.select("template", "key").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    dropped = stage.table(matched.join(recurring, "template", "left_semi").select("key", "at").distinct(), "dropped")
+    dropped = stage.table(matched.join(recurring, "template", "left_semi").select("key", "n_lines", "at").distinct(), "dropped")
 
-    # Only documents that lose a line are put together again.
-    changed = dropped.groupBy("key").agg(F.count(F.lit(1)).alias("n_dropped"))
-    touched = rows.join(changed, "key", "left_semi").dropDuplicates(["key"])
-    rest = touched.select("key", F.posexplode(F.split("text", "\n")).alias("at", "line")).join(dropped, ["key", "at"], "left_anti")
-    rebuilt = rest.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts"))
-    rebuilt = changed.join(rebuilt.select("key", F.concat_ws("\n", "parts.line").alias("left_over")), "key", "left")
-    return rows.join(rebuilt, "key", "left").select(
+    # For documents that lose a line, a flag for each line, so that one join with the texts is enough.
+    places = dropped.select("key", "n_lines").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("n_lines") - 1)).alias("at"))
+    flagged = places.join(dropped.select("key", "at", F.lit(True).alias("gone")), ["key", "at"], "left")
+    flags = flagged.groupBy("key").agg(
+        F.count("gone").alias("n_dropped"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("gone").isNull().alias("stays")))), lambda x: x["stays"]).alias("stay"),
+    )
+    left_over = F.array_join(F.filter(F.split("text", "\n"), lambda line, at: F.get("stay", at)), "\n")
+    return rows.join(flags, "key", "left").select(
         F.col("id").alias(id_col),
         F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.when(F.col("n_dropped").isNull(), F.col("text")).otherwise(F.coalesce("left_over", F.lit(""))).alias("text"),
+        F.when(F.col("n_dropped").isNull(), F.col("text")).otherwise(left_over).alias("text"),
     )
