@@ -31,7 +31,9 @@ _WORD = regex.compile(r"\p{L}+")
 _MARK = "▁"
 _OTHER = 1e-7  # probability of a character that is no piece by itself
 _LINEAR_CHARS = 28  # longer words are summed as logarithms
+_CELLS = 1_000_000  # words by characters that are worked on together
 _TRAINED_CHARS = 64  # longer words are counted in parts of this length when training
+_TOGETHER = 1500  # texts whose new words are scored together
 _FLUSH_WORDS = 400_000
 _CACHE_WORDS = 250_000
 
@@ -58,110 +60,100 @@ class Lattice:
             end[state] = number
         self.steps, self.end, self.longest = PairTable(steps), np.array(end, np.int64), max(map(len, pieces))
 
-    def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, stop, piece of each word or -1) for words of one length, in order of start."""
-        n, m = codes.shape
-        for i in range(m):
-            live, state = np.arange(n), np.zeros(n, np.int64)
-            for j in range(i, min(m, i + self.longest)):
-                there, slot = self.steps.find(state, codes[live, j])
+    def edges(self, codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, stop, words, piece of each): in order of start, then stop.
+
+        Words are rows of character codes, filled up with 0, in descending order of their ``sizes``.
+        A character that is no piece by itself has piece -1.
+        """
+        live_at = len(sizes) - np.searchsorted(sizes[::-1], np.arange(codes.shape[1]), "right")
+        for i in range(codes.shape[1]):
+            rows, state = np.arange(live_at[i]), np.zeros(live_at[i], np.int64)
+            for j in range(i, min(codes.shape[1], i + self.longest)):
+                there, slot = self.steps.find(state, codes[rows, j])
                 on = there == 0
-                live, state = live[on], self.steps.made[slot[on]]
-                if not len(live):
+                if j == i:
+                    piece = np.full(len(rows), -1, np.int64)
+                    piece[on] = self.end[self.steps.made[slot[on]]]
+                    yield i, i + 1, rows, piece
+                rows, state = rows[on], self.steps.made[slot[on]]
+                if not len(rows):
                     break
-                found = np.full(n, -1, np.int64)
-                found[live] = self.end[state]
-                if (found >= 0).any():
-                    yield i, j + 1, found
-
-
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in ``words``, character codes) of words of equal length, the mark in front."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(lengths, kind="stable")
-    for places in np.split(order, np.nonzero(np.diff(lengths[order]))[0] + 1):
-        if len(places):
-            for part in np.array_split(places, len(places) // 20_000 + 1):
-                text = "".join([_MARK + words[k] for k in part.tolist()])
-                yield part, np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(part), -1)
+                if j > i:
+                    piece = self.end[state]
+                    whole = piece >= 0
+                    if whole.any():
+                        yield i, j + 1, rows[whole], piece[whole]
+
+
+def _matrices(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``words``, character codes, sizes) of words with the mark in front; long words apart from others."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    order = np.argsort(-lengths, kind="stable")
+    groups, at = [], 0
+    while at < len(order):
+        longest = int(lengths[order[at]])
+        stop = at + max(1, _CELLS // longest)
+        if longest > _LINEAR_CHARS:  # short words never share a group with long ones
+            stop = min(stop, int(np.searchsorted(-lengths[order], -_LINEAR_CHARS)))
+        groups.append(order[at:stop])
+        at = stop
+    for places in groups:
+        sizes = lengths[places]
+        flat = np.frombuffer("".join([_MARK + words[k] for k in places.tolist()]).encode("utf-32-le"), np.uint32)
+        codes = np.zeros((len(places), int(sizes[0])), np.int64)
+        codes[np.arange(codes.shape[1]) < sizes[:, None]] = flat
+        yield places, codes, sizes
 
 
 def word_scores(words: list[str], lattice: Lattice, logp: np.ndarray) -> np.ndarray:
     """Natural log probability of each word (rows) in each language (columns); ``logp`` has a row for each piece."""
     out = np.zeros((len(words), logp.shape[1]))
-    for places, codes in _by_length(words):
+    logs = np.concatenate([logp, np.full((1, logp.shape[1]), np.log(_OTHER))])  # the last row is piece -1
+    numbers = np.exp(logs)
+    for places, codes, sizes in _matrices(words):
         n, m = codes.shape
         linear = m <= _LINEAR_CHARS
-        p = np.exp(logp) if linear else logp
         forward = np.full((m + 1, n, logp.shape[1]), 0.0 if linear else -np.inf)
         forward[0] = 1.0 if linear else 0.0
-        single = np.zeros((m, n), bool)
-        edges = list(lattice.edges(codes))
-        for i, j, found in edges:
-            if j == i + 1:
-                single[i] = found >= 0
-        at = 0
-        for i in range(m):
-            bare = np.nonzero(~single[i])[0]
+        for i, j, rows, piece in lattice.edges(codes, sizes):
             if linear:
-                forward[i + 1, bare] += forward[i, bare] * _OTHER
+                forward[j, rows] += forward[i, rows] * numbers[piece]
             else:
-                forward[i + 1, bare] = np.logaddexp(forward[i + 1, bare], forward[i, bare] + np.log(_OTHER))
-            while at < len(edges) and edges[at][0] == i:
-                _, j, found = edges[at]
-                rows = np.nonzero(found >= 0)[0]
-                if linear:
-                    forward[j, rows] += forward[i, rows] * p[found[rows]]
-                else:
-                    forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + p[found[rows]])
-                at += 1
-        out[places] = np.log(forward[m]) if linear else forward[m]
+                forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + logs[piece])
+        last = forward[sizes, np.arange(n)]
+        out[places] = np.log(last) if linear else last
     return out
 
 
 def expected_uses(words: list[str], language: np.ndarray, counts: np.ndarray, lattice: Lattice, logp: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, for words that belong to one language each."""
     n_pieces, n_languages = logp.shape
-    flat_p = np.exp(logp).ravel()
-    uses = np.zeros(n_pieces * n_languages)
+    flat_p = np.concatenate([np.exp(logp).ravel(), np.full(n_languages, _OTHER)])  # the last ones are piece -1
+    uses = np.zeros(len(flat_p))
     cut = [(w[at : at + _TRAINED_CHARS], k) for k, w in enumerate(words) for at in range(0, len(w), _TRAINED_CHARS)]
     words, source = [w for w, _ in cut], np.array([k for _, k in cut], np.int64)
     language, counts = language[source], counts[source]
-    for places, codes in _by_length(words):
+    for places, codes, sizes in _matrices(words):
         n, m = codes.shape
         of, weight = language[places], counts[places]
-        edges = list(lattice.edges(codes))
-        single = np.zeros((m, n), bool)
-        for i, j, found in edges:
-            if j == i + 1:
-                single[i] = found >= 0
         # Scaled by position, so that the product of up to _TRAINED_CHARS small numbers does not vanish.
-        forward, backward = np.zeros((m + 1, n)), np.zeros((m + 1, n))
-        forward[0], backward[m] = 1.0, 1.0
         scale = 1e3
-        at = 0
-        for i in range(m):
-            forward[i + 1] += np.where(single[i], 0.0, forward[i] * _OTHER * scale)
-            while at < len(edges) and edges[at][0] == i:
-                _, j, found = edges[at]
-                rows = np.nonzero(found >= 0)[0]
-                forward[j, rows] += forward[i, rows] * flat_p[found[rows] * n_languages + of[rows]] * scale ** (j - i)
-                at += 1
-        at = len(edges) - 1
-        for i in range(m - 1, -1, -1):
-            backward[i] += np.where(single[i], 0.0, backward[i + 1] * _OTHER * scale)
-            while at >= 0 and edges[at][0] == i:
-                _, j, found = edges[at]
-                rows = np.nonzero(found >= 0)[0]
-                backward[i, rows] += backward[j, rows] * flat_p[found[rows] * n_languages + of[rows]] * scale ** (j - i)
-                at -= 1
-        share = weight / forward[m]
-        for i, j, found in edges:
-            rows = np.nonzero(found >= 0)[0]
-            index = found[rows] * n_languages + of[rows]
-            use = forward[i, rows] * flat_p[index] * scale ** (j - i) * backward[j, rows] * share[rows]
-            uses += np.bincount(index, use, len(uses))
-    return uses.reshape(n_pieces, n_languages)
+        forward, backward = np.zeros((m + 1, n)), np.zeros((m + 1, n))
+        forward[0] = 1.0
+        backward[sizes, np.arange(n)] = 1.0
+        edges = []
+        for i, j, rows, piece in lattice.edges(codes, sizes):
+            index = np.where(piece < 0, n_pieces, piece) * n_languages + of[rows]
+            step = flat_p[index] * scale ** (j - i)
+            forward[j, rows] += forward[i, rows] * step
+            edges.append((i, j, rows, index, step))
+        for i, j, rows, _, step in reversed(edges):
+            backward[i, rows] += backward[j, rows] * step
+        share = weight / backward[0]
+        used = [forward[i, rows] * step * backward[j, rows] * share[rows] for i, j, rows, _, step in edges]
+        uses += np.bincount(np.concatenate([e[3] for e in edges]), np.concatenate(used), len(uses))
+    return uses[: n_pieces * n_languages].reshape(n_pieces, n_languages)
 
 
 def letters(text: str | None) -> list[str]:
@@ -292,8 +284,8 @@ def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text",
         known = shared.value
         scorer = _Scorer(known) if known.languages else None
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            for start in range(0, len(batch), _TOGETHER):
+                part = batch.slice(start, _TOGETHER)
                 best, score = _predictions(scorer, known.languages, part.column(column).to_pylist())
                 yield part.filter(pa.array([b != "und" and s >= least_score for b, s in zip(best, score.tolist(), strict=True)], pa.bool_()))
 
@@ -314,8 +306,8 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         known = shared.value
         scorer = _Scorer(known) if known.languages else None
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
+            for start in range(0, len(batch), _TOGETHER):
+                part = batch.slice(start, _TOGETHER)
                 best, score = _predictions(scorer, known.languages, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
