@@ -7,7 +7,12 @@ lists that different shards make for a vector are united. Each vector of a shard
 then searched for greedily from the shard's medoid; a search that has reached the range
 goes on from everything in range until nothing new turns up. Found pairs are verified
 by their cosine in double precision. A shard audits the recall of its searches against brute force
-on a stated share of its vectors, and searches again with a wider beam if it is short.
+on a share of its vectors, and searches again with a wider beam if it is short.
+
+What no shard can see, a pair without a common cluster, is audited across shards: every
+vector with an id divisible by 50 is compared with all vectors of its label. That sets the
+overlap of each label before the search, and afterwards labels whose found links fall
+short are searched again, with more clusters for each vector and wider beams, at the last by brute force.
 
 A cluster with more vectors than a shard may hold is cut into blocks with a graph
 each, and its vectors are searched for in every block.
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.components import connected_components
@@ -27,6 +32,11 @@ from heddle.llm.shared import Stage, sampled, shuffle_width
 
 _QUERY_BLOCK = 256
 _BACK, _BACK_MOST = 3, 32
+_LEAST_AUDITED = 64  # queries a shard audits, if it has as many
+_AUDIT_BYTES = 32 << 20  # vectors of a block of the audit across shards
+_AUDIT_COLUMNS = 8192
+_RANKS = 16  # nearest clusters of a vector that the audit looks at
+_PAIRS = 20_000  # pairs whose clusters are compared together
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -145,27 +155,84 @@ def _visit(vectors, graph, block, live, node, seen, cosine, pool, pool_cos) -> N
     pool[live], pool_cos[live] = np.take_along_axis(joint, best, axis=1), np.take_along_axis(joint_cos, best, axis=1)
 
 
-def audited_search(vectors, graph, queries, query_ids, threshold: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+def audited_search(vectors, ids, graph, queries, query_ids, audit, threshold: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """Range search whose beam doubles until the audited recall is reached.
 
-    Audited are the queries whose id is divisible by 50, or the first one; the widest beam covers
-    the whole shard, which is brute force.
+    Audited are the queries flagged in ``audit``, and others spread evenly if those are few. Recall
+    is the mean over audited queries that have a match other than themselves, so that no large group
+    outweighs the rest. Without such a query nothing would be known of the searches, and the
+    shard is compared by brute force, as it is by the widest beam.
     """
     entry = int((vectors @ vectors.mean(axis=0)).argmax())
-    audit = np.nonzero(query_ids % 50 == 0)[0]
-    audit = audit if len(audit) else np.arange(min(1, len(queries)))
-    truth = queries[audit] @ vectors.T >= threshold
-    while beam < len(vectors):
-        q, v = range_search(vectors, graph, entry, queries[audit], threshold, beam)
+    spread = np.linspace(0, max(0, len(queries) - 1), min(_LEAST_AUDITED, len(queries))).astype(np.int64)
+    picked = np.nonzero(audit)[0]
+    picked = np.union1d(picked, spread) if len(picked) < _LEAST_AUDITED else picked
+    truth = (queries[picked] @ vectors.T >= threshold) & (query_ids[picked][:, None] != ids[None, :])
+    linked = truth.any(axis=1)
+    picked, truth = picked[linked], truth[linked]
+    while len(picked) and beam < len(vectors):
+        q, v = range_search(vectors, graph, entry, queries[picked], threshold, beam)
         hit = np.zeros_like(truth)
         hit[q, v] = True
-        if (hit & truth).sum() >= recall * truth.sum():
-            break
+        if ((hit & truth).sum(axis=1) / truth.sum(axis=1)).mean() >= recall:
+            return range_search(vectors, graph, entry, queries, threshold, beam)
         beam *= 2
-    if beam >= len(vectors):
-        pairs = [np.nonzero(queries[s : s + _QUERY_BLOCK] @ vectors.T >= threshold - 1e-6) for s in range(0, len(queries), _QUERY_BLOCK)]
-        return np.concatenate([q + k * _QUERY_BLOCK for k, (q, _) in enumerate(pairs)]), np.concatenate([v for _, v in pairs])
-    return range_search(vectors, graph, entry, queries, threshold, beam)
+    pairs = [np.nonzero(queries[s : s + _QUERY_BLOCK] @ vectors.T >= threshold - 1e-6) for s in range(0, len(queries), _QUERY_BLOCK)]
+    return np.concatenate([q + k * _QUERY_BLOCK for k, (q, _) in enumerate(pairs)]), np.concatenate([v for _, v in pairs])
+
+
+def shared_width(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of nearest clusters, how many of each row must be taken until both hold a cluster in common."""
+    width = a.shape[1]
+    rank = np.maximum.outer(np.arange(width), np.arange(width))
+    return 1 + np.where(a[:, :, None] == b[:, None, :], rank, width).min(axis=(1, 2), initial=width)
+
+
+def true_links(ranked: DataFrame, threshold: float) -> DataFrame:
+    """``(label, rep, width, n)``: links of every audited vector with all vectors of its label, by brute force.
+
+    ``n`` counts the rows of the other vectors by the number of nearest clusters that a shard has to
+    take in (``shared_width``). Audited vectors and vectors meet in pairs of blocks, a group each.
+    """
+    rows = F.greatest(F.lit(256), F.floor(_AUDIT_BYTES / (8 * F.size("vector"))))
+    sizes = ranked.groupBy("label").agg(
+        F.ceil(F.count(F.lit(1)) / F.min(rows)).cast("int").alias("data_blocks"), F.ceil(F.sum(F.col("audited").cast("int")) / (F.min(rows) / 4)).cast("int").alias("query_blocks")
+    )
+    dealt = ranked.join(sizes.where("query_blocks > 0"), "label").withColumn("hash", F.xxhash64("key"))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    own = lambda blocks: F.pmod("hash", F.col(blocks)).cast("int")
+    columns = ["label", "rep", "copies", "vector", "near", "is_query", "q_block", "d_block"]
+    data = dealt.withColumn("is_query", F.lit(False)).withColumn("d_block", own("data_blocks")).withColumn("q_block", every("query_blocks"))
+    asked = dealt.where("audited").withColumn("is_query", F.lit(True)).withColumn("q_block", own("query_blocks")).withColumn("d_block", every("data_blocks"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        asking = block["is_query"].to_numpy()
+        if asking.all() or not asking.any():
+            return pd.DataFrame({"label": [], "rep": [], "width": [], "n": []})
+        points, near, reps, copies = _unit(_matrix(block["vector"])), np.stack(block["near"].to_numpy()), block["rep"].to_numpy(), block["copies"].to_numpy()
+        left, right = np.nonzero(asking)[0], np.nonzero(~asking)[0]
+        counts = np.zeros((len(left), near.shape[1] + 2), np.int64)
+        for i in range(0, len(left), _QUERY_BLOCK):
+            for j in range(0, len(right), _AUDIT_COLUMNS):
+                x, y = left[i : i + _QUERY_BLOCK], right[j : j + _AUDIT_COLUMNS]
+                q, v = np.nonzero((points[x] @ points[y].T >= threshold) & (reps[x][:, None] != reps[y][None, :]))
+                for at in range(0, len(q), _PAIRS):
+                    a, b = q[at : at + _PAIRS], y[v[at : at + _PAIRS]]
+                    np.add.at(counts, (i + a, shared_width(near[x[a]], near[b])), copies[b])
+        q, width = np.nonzero(counts)
+        return pd.DataFrame({"label": block["label"].iloc[0], "rep": reps[left[q]], "width": width, "n": counts[q, width]})
+
+    blocks = data.select(columns).unionByName(asked.select(columns)).groupBy("label", "q_block", "d_block")
+    found = blocks.applyInPandas(compare, "label string, rep bigint, width int, n bigint")
+    return found.groupBy("label", "rep", "width").agg(F.sum("n").alias("n"))
+
+
+def mean_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """``(label, queries, recall)``: the mean over audited vectors with links of the share of their links that was found."""
+    wanted = truth.groupBy("label", "rep").agg(F.sum("n").alias("n"))
+    got = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n"))
+    return wanted.join(got, "rep", "left").groupBy("label").agg(F.count(F.lit(1)).alias("queries"), F.avg(share).alias("recall"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -199,61 +266,29 @@ def centroids(distinct: DataFrame, shard_rows: int, sample_rows: int, most: int,
     return out
 
 
-def near_duplicates(
-    df: DataFrame,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    label_col: str = "label",
-    threshold: float = 0.98,
-    overlap: int = 3,
-    shard_rows: int = 1000,
-    block_rows: int = 6000,
-    degree: int = 24,
-    candidates: int = 48,
-    alpha: float = 1.2,
-    beam: int = 16,
-    recall: float = 0.98,
-    sample_rows: int = 20_000,
-    most_centroids: int = 4096,
-) -> DataFrame:
-    """``(id_col, n_links, component_id, kept)``: one row for every input row.
+def overlaps(truth: DataFrame, fitted: dict[str, np.ndarray], least: int, ranks: int, recall: float) -> dict[str, int]:
+    """For each label with several clusters, the smallest overlap, ``least`` or more, whose mean recall is at least ``recall``.
 
-    Rows link if their labels are equal and not null and the cosine of their vectors, in
-    double precision, is at least ``threshold``. Vectors that are null, zero or that
-    hold null or non-finite components link with nothing, and vectors of different
-    lengths do not link with each other. Equal vectors are searched once and counted as often as they occur. Rows
-    that share an id are vectors of their own in the counts. An empty table gives no
-    rows; other columns are not read.
+    Recall is that of a perfect search in every shard; ``ranks`` is the most that ``truth`` tells apart.
     """
-    spark = df.sparkSession
-    stage = Stage(spark, "graph")
-    values = F.col(vector_col).cast("array<double>")
-    usable = F.col(label_col).isNotNull() & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0.0)
-    rows = df.select(
-        F.col(id_col).cast("bigint").alias("id"),
-        F.when(usable, F.concat_ws(":", F.size(values), F.col(label_col).cast("string"))).alias("label"),
-        F.when(usable, F.transform(values, lambda x: x + 0.0)).alias("vector"),
-    )
-    key = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
-    rows = stage.table(rows.withColumn("key", key), "rows")
-    distinct = rows.where("label IS NOT NULL").groupBy("label", "key").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")
-    )
-    distinct = stage.table(distinct, "distinct")
-    centres = spark.sparkContext.broadcast(centroids(distinct, shard_rows, sample_rows, most_centroids))
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for label, part in frame.groupby("label"):
-                near = centres.value.get(label)
-                if near is None:
-                    clusters = np.zeros((len(part), 1), np.int64)
-                else:
-                    cosine = _unit(_matrix(part["vector"])) @ near.T
-                    clusters = np.sort(np.argsort(-cosine, axis=1)[:, :overlap], axis=1)
-                yield part.assign(clusters=list(clusters))
-
-    assigned = distinct.mapInPandas(assign, "label string, key string, rep bigint, copies bigint, vector array<double>, clusters array<int>")
+    share = truth.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label", "rep")))
+    curve: dict[str, dict[int, float]] = {}
+    for label, width, part in map(tuple, share.groupBy("label", "width").agg(F.sum("share")).collect()):
+        curve.setdefault(label, {})[width] = part
+    out = {}
+    for label, centres in fitted.items():
+        parts, most = curve.get(label, {}), min(ranks, len(centres))
+        total = sum(parts.values())
+        enough = (w for w in range(min(least, most), most) if sum(x for k, x in parts.items() if k <= w) >= recall * total)
+        out[label] = next(enough, most)
+    return out
+
+
+def _searched(spark, stage: Stage, ranked: DataFrame, widths: dict[str, int], overlap: int, threshold: float, block_rows: int, degree: int, candidates: int, alpha: float, beam: int, recall: float) -> DataFrame:
+    """``(label, rep, links, root)`` of each vector in each of its shards."""
+    of_label = spark.createDataFrame(list(widths.items()), "label string, width int")
+    taken = F.array_sort(F.slice("near", F.lit(1), F.coalesce("width", F.lit(overlap))))
+    assigned = ranked.join(F.broadcast(of_label), "label", "left").withColumn("clusters", taken).drop("near", "width")
     members = stage.table(assigned.withColumn("cluster", F.explode("clusters")), "members")
     sizes = members.groupBy("label", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     members = members.join(sizes, ["label", "cluster"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -273,7 +308,7 @@ def near_duplicates(
     data = members.join(united, "rep", "left").withColumn("is_data", F.lit(True))
     others = members.where("blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block")
     queries = others.withColumn("block", F.col("to")).drop("to").withColumn("near", F.lit(None).cast("array<bigint>")).withColumn("is_data", F.lit(False))
-    columns = ["label", "cluster", "block", "rep", "copies", "vector", "clusters", "near", "is_data"]
+    columns = ["label", "cluster", "block", "rep", "copies", "vector", "audited", "clusters", "near", "is_data"]
     searched = data.select(columns).unionByName(queries.select(columns)).repartition(tasks, "label", "cluster", "block")
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
@@ -285,7 +320,7 @@ def near_duplicates(
         for k, near in enumerate(lists):
             graph[k, : len(near)] = near
         points, ids = _unit(_matrix(shard["vector"])), shard["rep"].to_numpy()
-        q, v = audited_search(vectors, graph, points, ids, threshold, beam, recall)
+        q, v = audited_search(vectors, reps, graph, points, ids, shard["audited"].to_numpy(), threshold, beam, recall)
         other = ids[q] != reps[v]
         q, v = q[other], v[other]
         # What one side of a pair within the block found, both have.
@@ -298,18 +333,98 @@ def near_duplicates(
         sure = np.einsum("ij,ij->i", left[q], right[v]) / (np.linalg.norm(left, axis=1)[q] * np.linalg.norm(right, axis=1)[v]) >= threshold
         q, v = q[sure], v[sure]
         # A pair that shares several clusters counts in the first of them.
-        a, b = np.stack(shard["clusters"].to_numpy())[q], np.stack(own["clusters"].to_numpy())[v]
-        common = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int32).max).min(axis=1) if len(q) else q
-        first = common == shard["cluster"].iloc[0]
+        a, b = np.stack(shard["clusters"].to_numpy()), np.stack(own["clusters"].to_numpy())
+        first = np.zeros(len(q), bool)
+        for at in range(0, len(q), _PAIRS):
+            x, y = a[q[at : at + _PAIRS]], b[v[at : at + _PAIRS]]
+            common = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, np.iinfo(np.int32).max).min(axis=1)
+            first[at : at + _PAIRS] = common == shard["cluster"].iloc[0]
         links = np.bincount(q[first], own["copies"].to_numpy()[v[first]], len(shard)).astype(np.int64)
         # Links of the shard reduced to stars around their smallest ids.
         root = _roots(q, v, ids, reps)
-        return pd.DataFrame({"rep": ids, "links": links, "root": root})
+        return pd.DataFrame({"label": shard["label"].iloc[0], "rep": ids, "links": links, "root": root})
+
+    return searched.groupBy("label", "cluster", "block").applyInPandas(search, "label string, rep bigint, links bigint, root bigint")
+
+
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str = "label",
+    threshold: float = 0.98,
+    overlap: int = 3,
+    shard_rows: int = 1000,
+    block_rows: int = 6000,
+    degree: int = 24,
+    candidates: int = 48,
+    alpha: float = 1.2,
+    beam: int = 16,
+    recall: float = 0.98,
+    sample_rows: int = 20_000,
+    most_centroids: int = 4096,
+) -> DataFrame:
+    """``(id_col, n_links, component_id, kept)``: one row for every input row.
 
-    found = stage.table(
-        searched.groupBy("label", "cluster", "block").applyInPandas(search, "rep bigint, links bigint, root bigint"),
-        "found",
+    Rows link if their labels are equal and not null and the cosine of their vectors, in
+    double precision, is at least ``threshold``. Vectors that are null, zero or that
+    hold null or non-finite components link with nothing, and vectors of different
+    lengths do not link with each other. Equal vectors are searched once and counted as often as they occur. Rows
+    that share an id are vectors of their own in the counts. An empty table gives no
+    rows; other columns are not read.
+    """
+    spark = df.sparkSession
+    stage = Stage(spark, "graph")
+    values = F.col(vector_col).cast("array<double>")
+    usable = F.col(label_col).isNotNull() & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0.0)
+    rows = df.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.when(usable, F.concat_ws(":", F.size(values), F.col(label_col).cast("string"))).alias("label"),
+        F.when(usable, F.transform(values, lambda x: x + 0.0)).alias("vector"),
     )
+    key = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
+    rows = stage.table(rows.withColumn("key", key), "rows")
+    distinct = rows.where("label IS NOT NULL").groupBy("label", "key").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.coalesce(F.max(F.col("id") % 50 == 0), F.lit(False)).alias("audited")
+    )
+    distinct = stage.table(distinct, "distinct")
+    fitted = centroids(distinct, shard_rows, sample_rows, most_centroids)
+    centres = spark.sparkContext.broadcast(fitted)
+
+    def ranking(ranks: int) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for label, part in frame.groupby("label"):
+                    near = centres.value.get(label)
+                    if near is None:
+                        clusters = np.zeros((len(part), 1), np.int64)
+                    else:
+                        clusters = np.argsort(-(_unit(_matrix(part["vector"])) @ near.T), axis=1, kind="stable")[:, :ranks]
+                    yield part.assign(near=list(clusters))
+
+        return distinct.mapInPandas(run, "label string, key string, rep bigint, copies bigint, vector array<double>, audited boolean, near array<int>")
+
+    # Of each label with several clusters, the overlap under which the audited links share a cluster.
+    ranks = max(2 * overlap, _RANKS)
+    ranked = stage.table(ranking(ranks), "ranked")
+    truth = stage.table(true_links(ranked, threshold), "truth")
+    widths = overlaps(truth, fitted, overlap, ranks, recall)
+
+    def search_all(some: DataFrame, widths: dict[str, int], beam: int) -> DataFrame:
+        return stage.table(_searched(spark, stage, some, widths, overlap, threshold, block_rows, degree, candidates, alpha, beam, recall), "found")
+
+    found = search_all(ranked, widths, beam)
+    while short := [label for label, _, r in map(tuple, mean_recall(found, truth).where(F.col("recall") < recall).collect())]:
+        beam *= 2
+        widths |= {label: min(2 * widths.get(label, overlap), len(fitted[label])) for label in short if label in fitted}
+        if max((widths[label] for label in short if label in fitted), default=0) > ranks:
+            ranks *= 2
+            ranked = stage.table(ranking(ranks), "ranked")
+        again = F.broadcast(spark.createDataFrame([(label,) for label in short], "label string"))
+        wider = search_all(ranked.join(again, "label", "left_semi"), widths, beam)
+        found = stage.table(found.join(again, "label", "left_anti").unionByName(wider), "joint")
+        if beam >= 2 * block_rows and all(widths[label] >= len(fitted[label]) for label in short if label in fitted):
+            break  # brute force; what is left is rounding
     components = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), stage)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_key = (

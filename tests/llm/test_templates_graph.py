@@ -108,3 +108,45 @@ def test_graph_of_nothing(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert graph.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in graph.near_duplicates(spark.createDataFrame([(4, [1.0], 1)], schema)).collect()] == [(4, 0, 4, True)]
+
+
+def pairs_at(rng, n, dim, cosine):
+    """``n`` unit vectors and as many partners, each at this cosine."""
+    a = rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(n, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * b
+
+
+def test_pairs_without_a_common_cluster_widen_the_overlap(spark):
+    a, b = pairs_at(np.random.default_rng(3), 1500, 8, 0.981)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.stack([a, b], axis=1).reshape(-1, 8))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in graph.near_duplicates(df, shard_rows=15, overlap=1).collect()}
+    unit = np.stack([v for _, v, _ in rows])
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert np.mean([found[k] / n for k, n in enumerate(want) if n]) >= 0.97
+    assert all(found[k] <= n for k, n in enumerate(want))
+
+
+def test_large_group_does_not_hide_lost_pairs():
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=16)
+    group = centre + rng.normal(size=(300, 16)) * 0.01
+    vectors = graph._unit(np.concatenate([group, *pairs_at(rng, 40, 16, 0.99)]))
+    n = len(vectors)
+    edges = np.full((n, 8), -1, np.int64)
+    edges[:300] = rng.integers(0, 300, (300, 8))  # nothing leads to the pairs
+    ids = np.arange(n)
+    q, v = graph.audited_search(vectors, ids, edges, vectors, ids, ids % 50 == 0, 0.98, 16, 0.98)
+    other = q != v
+    assert other.sum() == (vectors @ vectors.T >= 0.98).sum() - n
+    assert set(range(300, n)) <= set(q[other].tolist())
+
+
+def test_shared_width():
+    a = np.array([[4, 2, 7], [1, 2, 3], [5, 6, 7]])
+    b = np.array([[4, 1, 0], [9, 8, 1], [1, 2, 3]])
+    assert graph.shared_width(a, b).tolist() == [1, 3, 4]
