@@ -4,9 +4,8 @@ Latent states emit words; Baum-Welch trains them. Frequent words (a bounded list
 an emission of their own in each state; all others share one, spread over them by
 their smoothed counts, so that every word, seen or not, has a probability.
 
-Training. Word counts cover all training texts. The model is seeded by some rounds on
-a bounded sample of windows, then each round of Baum-Welch goes over all training
-texts: tasks run the forward-backward recursion over windows of fixed length and
+Training. Word counts cover all training texts. The model is seeded by noise on them, then each
+round of Baum-Welch goes over all training texts until their likelihood settles: tasks run the forward-backward recursion over windows of fixed length and
 emit expected counts, which are aggregated for each word and each pair of states.
 The driver holds the model (a few numbers for each frequent word and state).
 
@@ -26,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.shared import Stage, sampled
+from heddle.llm.shared import Stage
 
 _FLUSH_WORDS = 300_000
-_SAMPLED_WINDOWS = 8
+_TASKS_A_CORE = 3
 _END, _RARE = 0, 1  # ids before those of frequent words
 
 
@@ -121,38 +120,43 @@ def windows(ids: list[bytes], length: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, length), np.int64)
 
 
-def expected_counts(rows: np.ndarray, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward-backward over all rows at once: counts of starts, of moves, and of (id, state)."""
+def forward_backward(rows: np.ndarray, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Scaled forward-backward over all rows at once: ``expected_counts``, and the natural log likelihood."""
     n, length = rows.shape
     states = len(model.start)
-    inside = rows >= 0
-    token = np.where(inside, rows, 0)
-    forward = np.zeros((length, n, states))
-    scale = np.ones((length, n))
-    at = model.start * model.emit[token[:, 0]]
+    inside = np.ascontiguousarray(rows.T >= 0)
+    token = np.where(inside, rows.T, 0)
+    # By place, state, row: sums over states then run along contiguous rows.
+    emit = np.ascontiguousarray(model.emit[token].transpose(0, 2, 1))
+    forward = np.empty((length, states, n))
+    scale = np.empty((length, n))
     for t in range(length):
-        if t:
-            at = (forward[t - 1] @ model.move) * model.emit[token[:, t]]
-            at[~inside[:, t]] = 1.0 / states
-        scale[t] = at.sum(axis=1)
-        scale[t, ~inside[:, t]] = 1.0
-        at /= scale[t][:, None]
-        forward[t] = at
-    backward = np.ones((n, states))
+        ended = ~inside[t]
+        np.multiply(model.move.T @ forward[t - 1] if t else model.start[:, None], emit[t], out=forward[t])
+        forward[t][:, ended] = 1.0 / states
+        scale[t] = forward[t].sum(axis=0)
+        forward[t] /= scale[t]
+        emit[t] /= scale[t]
+        emit[t][:, ended] = 0.0
+    share = np.empty((length, states, n))
+    backward = np.ones((states, n))
     moves = np.zeros((states, states))
-    emitted = np.zeros((len(model.emit), states))
     for t in range(length - 1, -1, -1):
-        use = inside[:, t]
-        share = forward[t] * backward
-        share[~use] = 0.0
-        for s in range(states):
-            emitted[:, s] += np.bincount(token[:, t], share[:, s], len(emitted))
+        np.multiply(forward[t], backward, out=share[t])
+        share[t][:, ~inside[t]] = 0.0
         if t:
-            ahead = backward * model.emit[token[:, t]] / scale[t][:, None]
-            ahead[~use] = 0.0
-            moves += forward[t - 1].T @ ahead
-            backward = np.where(use[:, None], ahead @ model.move.T, 1.0)
-    return share.sum(axis=0), moves * model.move, emitted
+            ahead = backward * emit[t]
+            moves += forward[t - 1] @ ahead.T
+            backward = model.move @ ahead
+            backward[:, ~inside[t]] = 1.0
+    places = token.ravel()
+    emitted = np.stack([np.bincount(places, share[:, s].ravel(), len(model.emit)) for s in range(states)], axis=1)
+    return share[0].sum(axis=1), moves * model.move, emitted, float(np.log(scale[inside]).sum())
+
+
+def expected_counts(rows: np.ndarray, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, of moves, and of (id, state)."""
+    return forward_backward(rows, model)[:3]
 
 
 def fitted(start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, unigram: np.ndarray, prior: float = 20.0) -> Hmm:
@@ -162,44 +166,46 @@ def fitted(start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, unigram: n
     return Hmm(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
 
 
-def seeded(sample: np.ndarray, unigram: np.ndarray, states: int, rounds: int) -> Hmm:
-    """A first model: states differ by fixed noise and tend to stay, then learn from the sample."""
+def seeded(unigram: np.ndarray, states: int) -> Hmm:
+    """A first model: states differ by fixed noise on the unigram of all training texts and tend to stay."""
     noise = np.random.default_rng(7).uniform(0.5, 1.5, (len(unigram), states))
     emit = unigram[:, None] * noise
     move = np.full((states, states), 0.2 / states) + np.eye(states) * 0.8
-    model = Hmm(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
-    for _ in range(rounds if len(sample) else 0):
-        model = fitted(*expected_counts(sample, model), unigram)
-    return model
+    return Hmm(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
+
 
+def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray, length: int) -> tuple[Hmm, float]:
+    """One round over all rows with ``learn``, and the natural log likelihood of their windows before it.
 
-def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray, length: int) -> Hmm:
-    """One round over all rows with ``learn``; counts are summed in each task, then across tasks."""
+    Counts are summed in each task, then across tasks; a few tasks a core, so that what a round
+    shuffles does not grow with the input.
+    """
     states = len(model.start)
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros(known.emit.shape)
+        start, moves, emitted, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros(known.emit.shape), np.zeros(1)
         held = np.zeros((0, length), np.int64)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 held = np.concatenate([held, windows(batch.column(0).slice(at, 1000).to_pylist(), length)])
                 while len(held) >= 1024:
-                    for total, part in zip((start, moves, emitted), expected_counts(held[:1024], known), strict=True):
+                    for total, part in zip((start, moves, emitted, likelihood), forward_backward(held[:1024], known), strict=True):
                         total += part
                     held = held[1024:]
         if len(held):
-            for total, part in zip((start, moves, emitted), expected_counts(held, known), strict=True):
+            for total, part in zip((start, moves, emitted, likelihood), forward_backward(held, known), strict=True):
                 total += part
-        # Emissions under their id, moves under -1 - state, starts under -1 - states.
+        # Emissions under their id, moves under -1 - state, starts under -1 - states, then the likelihood.
         used = np.nonzero(emitted.any(axis=1))[0]
-        number = np.concatenate([used, -1 - np.arange(states), [-1 - states]]).astype(np.int32)
-        rows = np.concatenate([emitted[used], moves, start[None]])
+        number = np.concatenate([used, -1 - np.arange(states), [-1 - states, -2 - states]]).astype(np.int32)
+        rows = np.concatenate([emitted[used], moves, start[None], np.repeat(likelihood, states)[None]])
         yield pa.RecordBatch.from_arrays([pa.array(number), *[pa.array(np.ascontiguousarray(rows[:, s])) for s in range(states)]], ["number", *names])
 
     names = [f"s{s}" for s in range(states)]
-    counts = encoded.where("learn").select("ids").mapInArrow(run, "number int, " + ", ".join(f"{s} double" for s in names))
+    tasks = _TASKS_A_CORE * encoded.sparkSession.sparkContext.defaultParallelism
+    counts = encoded.where("learn").select("ids").coalesce(tasks).mapInArrow(run, "number int, " + ", ".join(f"{s} double" for s in names))
     table = counts.groupBy("number").agg(*[F.sum(s).alias(s) for s in names]).toArrow()
     shared.unpersist()
     number = table["number"].to_numpy()
@@ -209,7 +215,7 @@ def baum_welch_round(encoded: DataFrame, model: Hmm, unigram: np.ndarray, length
     is_move = (number < 0) & (number > -1 - states)
     moves[-1 - number[is_move]] = rows[is_move]
     start += rows[number == -1 - states].sum(axis=0)
-    return fitted(start, moves, emitted, unigram)
+    return fitted(start, moves, emitted, unigram), float(rows[number == -2 - states, 0].sum())
 
 
 def log_likelihoods(ids: list[bytes], model: Hmm) -> np.ndarray:
@@ -239,10 +245,8 @@ def score(
     text_col: str = "text",
     states: int = 8,
     frequent_words: int = 32_768,
-    rounds: int = 3,
     window: int = 128,
-    sample_windows: int = 4096,
-    sample_rounds: int = 25,
+    settled: float = 1e-3,
 ) -> DataFrame:
     """``(id_col, n_tokens, n_known, train_tokens, base_score, score)``: one row for every input row.
 
@@ -250,8 +254,8 @@ def score(
     holds; ``base_score`` is the smoothed unigram's log10 probability, ``score`` the hidden
     Markov model's. A null text is empty (an end only). Ids should be unique: rows that
     share one share the counts of their words without an id. An empty training set
-    leaves the smoothing alone. ``frequent_words`` bounds the model, ``sample_windows``
-    the sample that seeds it; counts and rounds cover all training rows.
+    leaves the smoothing alone. ``frequent_words`` bounds the model. Counts and rounds
+    cover all training rows; rounds end once one gains less than ``settled`` nats a token.
     """
     if not 1 <= frequent_words <= 65_000:
         raise ValueError("frequent words have two-byte ids")
@@ -275,13 +279,12 @@ def score(
     base_logs[_RARE] = 0.0  # added by the join
 
     encoded = stage.table(encode(source, frequent), "encoded")
-    # A sample of bounded size: so many texts, and so many tokens of each.
-    some = F.substring("ids", 1, 2 * window * _SAMPLED_WINDOWS).alias("ids")
-    picked = sampled(encoded.where("learn"), "id", sample_windows // 4, ends).select(some).collect()
-    sample = windows([bytes(r[0]) for r in picked], window)[:sample_windows]
-    model = seeded(sample, unigram, states, sample_rounds)
-    for _ in range(rounds):
-        model = baum_welch_round(encoded, model, unigram, window)
+    model, last = seeded(unigram, states), -np.inf
+    while ends:
+        model, likelihood = baum_welch_round(encoded, model, unigram, window)
+        if likelihood - last < settled * n:
+            break
+        last = likelihood
     shared = df.sparkSession.sparkContext.broadcast((model, base_logs, ends > 0))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

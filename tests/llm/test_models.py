@@ -155,6 +155,33 @@ def test_scores(documents):
     assert sum(found[i].score for i in held) > sum(found[i].base_score for i in held)
 
 
+def test_states_of_a_small_late_group_are_learnt(documents):
+    # Far into every text, words come in two kinds that never mix, which openings do not show.
+    rng = random.Random(5)
+    kinds = [["red", "blue", "green"], ["uno", "dos", "tres"]]
+    rows = [(i, " ".join(rng.choices(sum(kinds, []), k=1100) + rng.choices(kinds[i % 2], k=3000))) for i in range(60)]
+    rows += [(1000 + i, " ".join(rng.choices(kinds[i % 2], k=50))) for i in range(20)]
+    found = {r.doc_id: r for r in hmm.score(documents(rows), F.col("doc_id") < 1000, states=3, window=16).collect()}
+    held = [found[1000 + i] for i in range(20)]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.2  # of log10(2) = 0.3
+
+
+def test_rounds_go_on_until_the_likelihood_settles(documents, monkeypatch):
+    seen, once = [], hmm.baum_welch_round
+
+    def watched(*args):
+        seen.append(once(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(hmm, "baum_welch_round", watched)
+    rows = [(i, "red blue green " * 20 if i % 2 else "uno dos tres " * 20) for i in range(40)]
+    tokens = 40 * 61
+    hmm.score(documents(rows), F.lit(True), states=3, window=16).count()
+    gains = [b - a for (_, a), (_, b) in itertools.pairwise(seen)]
+    assert all(g >= 1e-3 * tokens for g in gains[:-1]) and gains[-1] < 1e-3 * tokens and len(seen) > 3
+
+
 def test_scores_without_training_rows(documents):
     rows = hmm.score(documents([(1, "a b"), (2, None)]), F.lit(False), states=2).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in rows) == [(1, 3, 0, 0), (2, 1, 0, 0)]
