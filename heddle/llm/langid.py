@@ -32,6 +32,7 @@ _MARK = "▁"
 _OTHER = 1e-7  # probability of a character that is no piece by itself
 _LINEAR_CHARS = 28  # longer words are summed as logarithms
 _CELLS = 1_000_000  # words by characters that are worked on together
+_FAINT = 1e-100  # scaled probability of a word below which training takes logarithms
 _TRAINED_CHARS = 64  # longer words are counted in parts of this length when training
 _TOGETHER = 1500  # texts whose new words are scored together
 _FLUSH_WORDS = 400_000
@@ -137,7 +138,7 @@ def expected_uses(words: list[str], language: np.ndarray, counts: np.ndarray, la
     for places, codes, sizes in _matrices(words):
         n, m = codes.shape
         of, weight = language[places], counts[places]
-        # Scaled by position, so that the product of up to _TRAINED_CHARS small numbers does not vanish.
+        # Scaled by position, so that few products of up to _TRAINED_CHARS small numbers vanish; those are summed as logarithms.
         scale = 1e3
         forward, backward = np.zeros((m + 1, n)), np.zeros((m + 1, n))
         forward[0] = 1.0
@@ -150,12 +151,36 @@ def expected_uses(words: list[str], language: np.ndarray, counts: np.ndarray, la
             edges.append((i, j, rows, index, step))
         for i, j, rows, _, step in reversed(edges):
             backward[i, rows] += backward[j, rows] * step
-        share = weight / backward[0]
+        faint = np.nonzero(backward[0] < _FAINT)[0]
+        share = np.where(backward[0] < _FAINT, 0.0, weight / np.maximum(backward[0], _FAINT))
         used = [forward[i, rows] * step * backward[j, rows] * share[rows] for i, j, rows, _, step in edges]
         uses += np.bincount(np.concatenate([e[3] for e in edges]), np.concatenate(used), len(uses))
+        if len(faint):
+            uses += _log_uses(codes[faint], sizes[faint], of[faint], weight[faint], lattice, flat_p, n_pieces, n_languages)
+    if not np.isfinite(uses).all():
+        raise FloatingPointError("expected uses are not finite")
     return uses[: n_pieces * n_languages].reshape(n_pieces, n_languages)
 
 
+def _log_uses(codes, sizes, of, weight, lattice: Lattice, flat_p: np.ndarray, n_pieces: int, n_languages: int) -> np.ndarray:
+    """Uses of pieces in words whose scaled probability leaves the range of doubles."""
+    n, m = codes.shape
+    logs = np.log(flat_p)
+    forward, backward = np.full((m + 1, n), -np.inf), np.full((m + 1, n), -np.inf)
+    forward[0] = 0.0
+    backward[sizes, np.arange(n)] = 0.0
+    uses, edges = np.zeros(len(flat_p)), []
+    for i, j, rows, piece in lattice.edges(codes, sizes):
+        index = np.where(piece < 0, n_pieces, piece) * n_languages + of[rows]
+        forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + logs[index])
+        edges.append((i, j, rows, index))
+    for i, j, rows, index in reversed(edges):
+        backward[i, rows] = np.logaddexp(backward[i, rows], backward[j, rows] + logs[index])
+    for i, j, rows, index in edges:
+        uses += np.bincount(index, np.exp(forward[i, rows] + logs[index] + backward[j, rows] - backward[0, rows]) * weight[rows], len(uses))
+    return uses
+
+
 def letters(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 

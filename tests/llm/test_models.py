@@ -49,6 +49,14 @@ def test_expected_uses_are_posterior_counts():
     assert uses == pytest.approx([want[x] for x in pieces])
 
 
+def test_expected_uses_of_a_long_run_of_faint_pieces():
+    pieces = ["▁", "a", "b"]
+    for faint in (1e-7, 1e-10, 1e-14):
+        p = np.array([[0.5], [0.5], [faint]])
+        uses = langid.expected_uses(["b" * 64, "a"], np.array([0, 0]), np.array([3.0, 1.0]), langid.Lattice(pieces), np.log(p))[:, 0]
+        assert uses == pytest.approx([4.0, 1.0, 192.0])
+
+
 @pytest.fixture
 def languages(documents):
     rng = random.Random(1)
