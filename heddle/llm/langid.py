@@ -8,14 +8,18 @@ maximisation on counted words: the forward-backward recursion gives the expected
 of uses of each piece, aggregated over all labelled training texts.
 
 Words are maximal runs of letters, lower-cased, with the vocabulary's word mark in
-front, so whatever a document repeats is scored once. Recursions run for many words of
-one length together; pieces are found by walking a trie held in arrays.
+front, so whatever a document repeats is scored once. The vocabulary is lower-cased
+too: pieces that differ in case only are one piece, and pieces that hold anything but
+letters and a mark in front, which no word can use, are left out. Recursions run for many
+words of one length together; pieces are found by walking a trie held in arrays. Words
+whose probability may leave the range of doubles are summed as logarithms, at any length.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,35 +35,55 @@ _WORD = regex.compile(r"\p{L}+")
 _MARK = "▁"
 _OTHER = 1e-7  # probability of a character that is no piece by itself
 _LINEAR_CHARS = 28  # longer words are summed as logarithms
-_CELLS = 1_000_000  # words by characters that are worked on together
+_CELLS = 400_000  # words by characters (by languages, when scoring) that are worked on together
 _FAINT = 1e-100  # scaled probability of a word below which training takes logarithms
-_TRAINED_CHARS = 64  # longer words are counted in parts of this length when training
-_TOGETHER = 1500  # texts whose new words are scored together
-_FLUSH_WORDS = 400_000
+_COMMON = 63  # characters that each state of the trie has a column for
+_TOGETHER = 1000  # texts whose new words are scored together
+_FLUSH_WORDS = 300_000
 _CACHE_WORDS = 250_000
+_ROWS_A_TASK = 100_000  # counted words that a task of a training round takes
+_MOST_TASKS = 4000  # of a training round, so that what a round shuffles stays bounded
 
 
-def pieces_of(model_file: str, longest: int = 16) -> list[str]:
-    """The vocabulary's ordinary pieces, lower-case, in order of id, each once."""
+def pieces_of(model_file: str) -> list[str]:
+    """The vocabulary's ordinary pieces that a word can use, lower-cased, in order of id, each once."""
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-    return list(dict.fromkeys(p for p in map(model.id_to_piece, ids) if p == p.lower() and len(p) <= longest))
+    usable = regex.compile(_MARK + r"?\p{L}*")
+    return list(dict.fromkeys(p for p in (model.id_to_piece(i).lower() for i in ids) if p and usable.fullmatch(p)))
 
 
 class Lattice:
-    """Finds the pieces that start at each character of many words."""
+    """Finds the pieces that start at each character of many words.
+
+    A state of the trie has a row with a column for each of the most common characters;
+    steps by other characters are looked up by pair.
+    """
 
     def __init__(self, pieces: list[str]):
         steps: dict[tuple[int, int], tuple[int, int]] = {}
         end: list[int] = [-1]
+        uses: Counter[str] = Counter()
         for number, piece in enumerate(pieces):
             state = 0
+            uses.update(piece)
             for c in piece:
                 state = steps.setdefault((state, ord(c)), (0, len(steps) + 1))[1]
                 if state == len(end):
                     end.append(-1)
             end[state] = number
-        self.steps, self.end, self.longest = PairTable(steps), np.array(end, np.int64), max(map(len, pieces))
+        self.end, self.longest = np.array(end, np.int32), max(map(len, pieces))
+        self.column = np.zeros(0x110000, np.int8)
+        common = sorted(uses, key=lambda c: (-uses[c], c))[:_COMMON]
+        self.column[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        inner = {s: k for k, s in enumerate(sorted({s for s, _ in steps}))}
+        self.row = np.full(len(end), len(inner), np.int32)  # states without steps share an empty row
+        self.row[list(inner)] = list(inner.values())
+        self.next = np.full((len(inner) + 1, _COMMON + 1), -1, np.int32)
+        for (state, code), (_, made) in steps.items():
+            self.next[inner[state], self.column[code]] = made
+        self.next[:, 0] = -1
+        self.other = PairTable({k: v for k, v in steps.items() if not self.column[k[1]]} or {(0, 0): (0, 0)})
 
     def edges(self, codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, stop, words, piece of each): in order of start, then stop.
@@ -68,33 +92,43 @@ class Lattice:
         A character that is no piece by itself has piece -1.
         """
         live_at = len(sizes) - np.searchsorted(sizes[::-1], np.arange(codes.shape[1]), "right")
+        columns = np.ascontiguousarray(self.column[codes].T)
         for i in range(codes.shape[1]):
-            rows, state = np.arange(live_at[i]), np.zeros(live_at[i], np.int64)
+            rows, state = np.arange(live_at[i]), np.zeros(live_at[i], np.int32)
             for j in range(i, min(codes.shape[1], i + self.longest)):
-                there, slot = self.steps.find(state, codes[rows, j])
-                on = there == 0
+                column = columns[j][rows]
+                made = self.next[self.row[state], column]
+                other = np.nonzero(column == 0)[0]
+                other = other[codes[rows[other], j] > 0]
+                if len(other):
+                    rank, slot = self.other.find(state[other].astype(np.int64), codes[rows[other], j])
+                    made[other] = np.where(rank == 0, self.other.made[slot], -1)
+                on = np.nonzero(made >= 0)[0]
                 if j == i:
-                    piece = np.full(len(rows), -1, np.int64)
-                    piece[on] = self.end[self.steps.made[slot[on]]]
+                    piece = np.full(len(rows), -1, np.int32)
+                    piece[on] = self.end[made[on]]
                     yield i, i + 1, rows, piece
-                rows, state = rows[on], self.steps.made[slot[on]]
+                rows, state = rows[on], made[on]
                 if not len(rows):
                     break
                 if j > i:
                     piece = self.end[state]
-                    whole = piece >= 0
-                    if whole.any():
+                    whole = np.nonzero(piece >= 0)[0]
+                    if len(whole):
                         yield i, j + 1, rows[whole], piece[whole]
 
 
-def _matrices(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in ``words``, character codes, sizes) of words with the mark in front; long words apart from others."""
+def _matrices(words: list[str], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``words``, character codes, sizes) of words with the mark in front; long words apart from others.
+
+    ``cells`` bounds words by characters, unless one word is longer.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     order = np.argsort(-lengths, kind="stable")
     groups, at = [], 0
     while at < len(order):
         longest = int(lengths[order[at]])
-        stop = at + max(1, _CELLS // longest)
+        stop = at + max(1, cells // longest)
         if longest > _LINEAR_CHARS:  # short words never share a group with long ones
             stop = min(stop, int(np.searchsorted(-lengths[order], -_LINEAR_CHARS)))
         groups.append(order[at:stop])
@@ -112,7 +146,7 @@ def word_scores(words: list[str], lattice: Lattice, logp: np.ndarray) -> np.ndar
     out = np.zeros((len(words), logp.shape[1]))
     logs = np.concatenate([logp, np.full((1, logp.shape[1]), np.log(_OTHER))])  # the last row is piece -1
     numbers = np.exp(logs)
-    for places, codes, sizes in _matrices(words):
+    for places, codes, sizes in _matrices(words, _CELLS // max(1, logp.shape[1])):
         n, m = codes.shape
         linear = m <= _LINEAR_CHARS
         forward = np.full((m + 1, n, logp.shape[1]), 0.0 if linear else -np.inf)
@@ -132,13 +166,13 @@ def expected_uses(words: list[str], language: np.ndarray, counts: np.ndarray, la
     n_pieces, n_languages = logp.shape
     flat_p = np.concatenate([np.exp(logp).ravel(), np.full(n_languages, _OTHER)])  # the last ones are piece -1
     uses = np.zeros(len(flat_p))
-    cut = [(w[at : at + _TRAINED_CHARS], k) for k, w in enumerate(words) for at in range(0, len(w), _TRAINED_CHARS)]
-    words, source = [w for w, _ in cut], np.array([k for _, k in cut], np.int64)
-    language, counts = language[source], counts[source]
-    for places, codes, sizes in _matrices(words):
+    for places, codes, sizes in _matrices(words, _CELLS):
         n, m = codes.shape
         of, weight = language[places], counts[places]
-        # Scaled by position, so that few products of up to _TRAINED_CHARS small numbers vanish; those are summed as logarithms.
+        if m > _LINEAR_CHARS:
+            uses += _log_uses(codes, sizes, of, weight, lattice, flat_p, n_pieces, n_languages)
+            continue
+        # Scaled by position, so that few products of small numbers vanish; those are summed as logarithms.
         scale = 1e3
         forward, backward = np.zeros((m + 1, n)), np.zeros((m + 1, n))
         forward[0] = 1.0
@@ -163,7 +197,7 @@ def expected_uses(words: list[str], language: np.ndarray, counts: np.ndarray, la
 
 
 def _log_uses(codes, sizes, of, weight, lattice: Lattice, flat_p: np.ndarray, n_pieces: int, n_languages: int) -> np.ndarray:
-    """Uses of pieces in words whose scaled probability leaves the range of doubles."""
+    """Uses of pieces in words whose scaled probability may leave the range of doubles."""
     n, m = codes.shape
     logs = np.log(flat_p)
     forward, backward = np.full((m + 1, n), -np.inf), np.full((m + 1, n), -np.inf)
@@ -197,10 +231,12 @@ def counted_words(labelled: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(letters(text))
-            if sum(map(len, counts.values())) > _FLUSH_WORDS:
-                yield rows()
+            for start in range(0, len(batch), _TOGETHER):
+                part = batch.slice(start, _TOGETHER)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts.setdefault(lang, Counter()).update(letters(text))
+                if sum(map(len, counts.values())) > _FLUSH_WORDS:
+                    yield rows()
         yield rows()
 
     return labelled.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -233,14 +269,18 @@ def train(df: DataFrame, model_file: str, text_col: str = "text", lang_col: str
         return model
     words = stage.table(counted_words(labelled), "words")
     number = F.create_map(*[x for k, lang in enumerate(languages) for x in (F.lit(lang), F.lit(k))])
-    numbered = words.select(F.element_at(number, F.col("lang")).alias("language"), "word", "n")
+    # Tasks by rows, as a row's bytes say little about its work.
+    tasks = max(1, min(_MOST_TASKS, -(-words.count() // _ROWS_A_TASK)))
+    numbered = stage.table(words.select(F.element_at(number, F.col("lang")).alias("language"), "word", "n").repartition(tasks, "language", "word"), "numbered")
+    stage.drop(words)
     context = df.sparkSession.sparkContext
+    lattice_of = context.broadcast(Lattice(pieces))
     for _ in range(rounds):
-        shared = context.broadcast((pieces, model.logp))
+        shared = context.broadcast(model.logp)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, logp = shared.value
-            lattice, uses = Lattice(known), np.zeros(logp.shape)
+            logp = shared.value
+            lattice, uses = lattice_of.value, np.zeros(logp.shape)
             for batch in batches:
                 language, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
                 uses += expected_uses(batch.column(1).to_pylist(), language.astype(np.int64), n.astype(float), lattice, logp)
@@ -253,6 +293,8 @@ def train(df: DataFrame, model_file: str, text_col: str = "text", lang_col: str
         dense += smoothing
         model.logp = np.log(dense / dense.sum(axis=0))
         shared.unpersist()
+    lattice_of.unpersist()
+    stage.drop(numbered)
     return model
 
 
@@ -270,14 +312,13 @@ class _Scorer:
     def posteriors(self, texts: list[list[str]]) -> np.ndarray:
         if len(self.place) > _CACHE_WORDS:
             self._forget()
-        fresh = list({w: None for words in texts for w in words if w not in self.place})
+        fresh = list(set(chain.from_iterable(texts)) - self.place.keys())
         if fresh:
             base = len(self.place)
             self.place.update({w: base + k for k, w in enumerate(fresh)})
             self.table = np.concatenate([self.table, word_scores(fresh, self.lattice, self.model.logp)])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        place = self.place
-        flat = np.fromiter((place[w] for words in texts for w in words), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         total = np.tile(self.model.log_prior, (len(texts), 1))
         some = np.nonzero(sizes)[0]
         if len(some):
