@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,20 @@ from heddle.workspace import shared_dir
 
 #: White space of every contract here: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
+_SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+_PIECE_BYTES = 1 << 20
+
+
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased, in lists for about a megabyte each, so that a long text is never split whole."""
+    at = 0
+    while len(text) - at > _PIECE_BYTES:
+        cut = _SPACE_BYTE.search(text, at + _PIECE_BYTES)
+        if cut is None:
+            break
+        yield text[at : cut.start()].lower().split()
+        at = cut.end()
+    yield (text[at:] if at else text).lower().split()
 
 
 class Stage:
@@ -29,9 +45,11 @@ class Stage:
         self.made += 1
         return f"{self.root}/{self.made:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` as written; ``by`` is a column of few values that later filters name, a folder for each."""
         schema, path = df.schema, self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, df: DataFrame | None) -> None:
