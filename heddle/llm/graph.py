@@ -14,8 +14,12 @@ vector with an id divisible by 50 is compared with all vectors of its label. Tha
 overlap of each label before the search, and afterwards labels whose found links fall
 short are searched again, with more clusters for each vector and wider beams, at the last by brute force.
 
-A cluster with more vectors than a shard may hold is cut into blocks with a graph
-each, and its vectors are searched for in every block.
+Clustering has two levels. Centroids are fitted on a sample and bounded in number; a cluster with more
+vectors than a shard may hold is dealt once more, to the nearest of pivots, vectors of its own whose
+number grows with it. A shard that is still too large, as very many near copies make one, is cut
+into blocks with a graph each, and its vectors are searched for in every block.
+
+Different vectors of a label are nodes with a number of their own, whatever their ids.
 """
 
 from __future__ import annotations
@@ -35,8 +39,10 @@ _BACK, _BACK_MOST = 3, 32
 _LEAST_AUDITED = 64  # queries a shard audits, if it has as many
 _AUDIT_BYTES = 32 << 20  # vectors of a block of the audit across shards
 _AUDIT_COLUMNS = 8192
+_ROUNDING = 1e-5  # of cosines in single precision
 _RANKS = 16  # nearest clusters of a vector that the audit looks at
-_PAIRS = 20_000  # pairs whose clusters are compared together
+_PAIRS = 20_000  # pairs whose shards are compared together
+_CHUNK = 50_000  # vectors of a large cluster that are dealt to pivots together
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -52,6 +58,7 @@ def robust_prune(vectors: np.ndarray, degree: int, candidates: int, alpha: float
     degree would be an island.
     """
     n = len(vectors)
+    vectors = vectors.astype(np.float32)
     near = min(candidates, n - 1)
     long = degree // 3
     out = np.full((n, degree), -1, np.int64)
@@ -68,7 +75,7 @@ def robust_prune(vectors: np.ndarray, degree: int, candidates: int, alpha: float
         order = np.argsort(distance, axis=1)
         pool, distance = np.take_along_axis(top, order, axis=1), np.take_along_axis(distance, order, axis=1)
         points = vectors[pool]
-        between = np.maximum(0.0, 2.0 - 2.0 * np.einsum("bid,bjd->bij", points, points))
+        between = np.maximum(0.0, 2.0 - 2.0 * np.matmul(points, points.transpose(0, 2, 1)))
         alive = np.ones(distance.shape, bool)
         count = np.zeros(len(rows), np.int64)
         for k in range(pool.shape[1]):
@@ -97,18 +104,19 @@ def range_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np
     """(query row, vector) pairs with a cosine of ``threshold`` or more that greedy search reaches."""
     found_q, found_v = [], []
     n = len(vectors)
+    vectors, queries = vectors.astype(np.float32), queries.astype(np.float32)
     beam = min(beam, n)
-    slack = threshold - 1e-6  # single rounding; pairs are verified later
+    slack = threshold - _ROUNDING  # pairs are verified later
     for start in range(0, len(queries), _QUERY_BLOCK):
         block = queries[start : start + _QUERY_BLOCK]
         b = len(block)
         seen = np.zeros((b, n), bool)
-        cosine = np.full((b, n), -np.inf)
+        cosine = np.full((b, n), -np.inf, np.float32)
         opened = np.zeros((b, n), bool)
         first = block @ vectors[entry]
         seen[:, entry], cosine[:, entry] = True, first
         pool = np.full((b, beam), -1, np.int64)
-        pool_cos = np.full((b, beam), -np.inf)
+        pool_cos = np.full((b, beam), -np.inf, np.float32)
         pool[:, 0], pool_cos[:, 0] = entry, first
         live = np.arange(b)
         while len(live):
@@ -145,7 +153,7 @@ def _visit(vectors, graph, block, live, node, seen, cosine, pool, pool_cos) -> N
     new = graph[node]
     fresh = (new >= 0) & ~seen[live[:, None], np.maximum(new, 0)]
     new = np.where(fresh, new, -1)
-    value = np.einsum("bd,bkd->bk", block[live], vectors[np.maximum(new, 0)])
+    value = np.matmul(vectors[np.maximum(new, 0)], block[live][:, :, None])[:, :, 0]
     value[~fresh] = -np.inf
     rows, columns = np.nonzero(fresh)
     seen[live[rows], new[rows, columns]] = True
@@ -177,7 +185,7 @@ def audited_search(vectors, ids, graph, queries, query_ids, audit, threshold: fl
         if ((hit & truth).sum(axis=1) / truth.sum(axis=1)).mean() >= recall:
             return range_search(vectors, graph, entry, queries, threshold, beam)
         beam *= 2
-    pairs = [np.nonzero(queries[s : s + _QUERY_BLOCK] @ vectors.T >= threshold - 1e-6) for s in range(0, len(queries), _QUERY_BLOCK)]
+    pairs = [np.nonzero(queries[s : s + _QUERY_BLOCK] @ vectors.T >= threshold - _ROUNDING) for s in range(0, len(queries), _QUERY_BLOCK)]
     return np.concatenate([q + k * _QUERY_BLOCK for k, (q, _) in enumerate(pairs)]), np.concatenate([v for _, v in pairs])
 
 
@@ -189,7 +197,7 @@ def shared_width(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def true_links(ranked: DataFrame, threshold: float) -> DataFrame:
-    """``(label, rep, width, n)``: links of every audited vector with all vectors of its label, by brute force.
+    """``(label, node, width, n)``: links of every audited vector with all vectors of its label, by brute force.
 
     ``n`` counts the rows of the other vectors by the number of nearest clusters that a shard has to
     take in (``shared_width``). Audited vectors and vectors meet in pairs of blocks, a group each.
@@ -201,44 +209,50 @@ def true_links(ranked: DataFrame, threshold: float) -> DataFrame:
     dealt = ranked.join(sizes.where("query_blocks > 0"), "label").withColumn("hash", F.xxhash64("key"))
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     own = lambda blocks: F.pmod("hash", F.col(blocks)).cast("int")
-    columns = ["label", "rep", "copies", "vector", "near", "is_query", "q_block", "d_block"]
+    columns = ["label", "node", "copies", "vector", "near", "is_query", "q_block", "d_block"]
     data = dealt.withColumn("is_query", F.lit(False)).withColumn("d_block", own("data_blocks")).withColumn("q_block", every("query_blocks"))
     asked = dealt.where("audited").withColumn("is_query", F.lit(True)).withColumn("q_block", own("query_blocks")).withColumn("d_block", every("data_blocks"))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         asking = block["is_query"].to_numpy()
         if asking.all() or not asking.any():
-            return pd.DataFrame({"label": [], "rep": [], "width": [], "n": []})
-        points, near, reps, copies = _unit(_matrix(block["vector"])), np.stack(block["near"].to_numpy()), block["rep"].to_numpy(), block["copies"].to_numpy()
+            return pd.DataFrame({"label": [], "node": [], "width": [], "n": []})
+        points, near, nodes, copies = _unit(_matrix(block["vector"])), np.stack(block["near"].to_numpy()), block["node"].to_numpy(), block["copies"].to_numpy()
         left, right = np.nonzero(asking)[0], np.nonzero(~asking)[0]
         counts = np.zeros((len(left), near.shape[1] + 2), np.int64)
         for i in range(0, len(left), _QUERY_BLOCK):
             for j in range(0, len(right), _AUDIT_COLUMNS):
                 x, y = left[i : i + _QUERY_BLOCK], right[j : j + _AUDIT_COLUMNS]
-                q, v = np.nonzero((points[x] @ points[y].T >= threshold) & (reps[x][:, None] != reps[y][None, :]))
+                q, v = np.nonzero((points[x] @ points[y].T >= threshold) & (nodes[x][:, None] != nodes[y][None, :]))
                 for at in range(0, len(q), _PAIRS):
                     a, b = q[at : at + _PAIRS], y[v[at : at + _PAIRS]]
                     np.add.at(counts, (i + a, shared_width(near[x[a]], near[b])), copies[b])
         q, width = np.nonzero(counts)
-        return pd.DataFrame({"label": block["label"].iloc[0], "rep": reps[left[q]], "width": width, "n": counts[q, width]})
+        return pd.DataFrame({"label": block["label"].iloc[0], "node": nodes[left[q]], "width": width, "n": counts[q, width]})
 
     blocks = data.select(columns).unionByName(asked.select(columns)).groupBy("label", "q_block", "d_block")
-    found = blocks.applyInPandas(compare, "label string, rep bigint, width int, n bigint")
-    return found.groupBy("label", "rep", "width").agg(F.sum("n").alias("n"))
+    found = blocks.applyInPandas(compare, "label string, node bigint, width int, n bigint")
+    return found.groupBy("label", "node", "width").agg(F.sum("n").alias("n"))
 
 
 def mean_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """``(label, queries, recall)``: the mean over audited vectors with links of the share of their links that was found."""
-    wanted = truth.groupBy("label", "rep").agg(F.sum("n").alias("n"))
-    got = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    wanted = truth.groupBy("label", "node").agg(F.sum("n").alias("n"))
+    got = found.groupBy("node").agg(F.sum("links").alias("links"))
     share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n"))
-    return wanted.join(got, "rep", "left").groupBy("label").agg(F.count(F.lit(1)).alias("queries"), F.avg(share).alias("recall"))
+    return wanted.join(got, "node", "left").groupBy("label").agg(F.count(F.lit(1)).alias("queries"), F.avg(share).alias("recall"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _rows(lists: pd.Series) -> np.ndarray:
+    """Lists as rows of a matrix, filled up with their last entry."""
+    width = max(map(len, lists))
+    return np.stack([np.pad(x, (0, width - len(x)), "edge") for x in lists]).astype(np.int64)
+
+
 def centroids(distinct: DataFrame, shard_rows: int, sample_rows: int, most: int, rounds: int = 5) -> dict[str, np.ndarray]:
     """Unit centroids for each label, from a sample of at most ``sample_rows`` vectors; ``most`` in all.
 
@@ -247,7 +261,7 @@ def centroids(distinct: DataFrame, shard_rows: int, sample_rows: int, most: int,
     sizes = dict(map(tuple, distinct.groupBy("label").count().collect()))
     wanted = {k: max(1, round(n / shard_rows)) for k, n in sizes.items()}
     squeeze = max(1.0, sum(wanted.values()) / most)
-    sample = sampled(distinct, "rep", sample_rows, sum(sizes.values())).select("label", "vector").toPandas()
+    sample = sampled(distinct, "key", sample_rows, sum(sizes.values())).select("label", "vector").toPandas()
     out = {}
     for label, n in wanted.items():
         own = sample[sample["label"] == label]
@@ -271,7 +285,7 @@ def overlaps(truth: DataFrame, fitted: dict[str, np.ndarray], least: int, ranks:
 
     Recall is that of a perfect search in every shard; ``ranks`` is the most that ``truth`` tells apart.
     """
-    share = truth.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label", "rep")))
+    share = truth.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label", "node")))
     curve: dict[str, dict[int, float]] = {}
     for label, width, part in map(tuple, share.groupBy("label", "width").agg(F.sum("share")).collect()):
         curve.setdefault(label, {})[width] = part
@@ -284,67 +298,103 @@ def overlaps(truth: DataFrame, fitted: dict[str, np.ndarray], least: int, ranks:
     return out
 
 
-def _searched(spark, stage: Stage, ranked: DataFrame, widths: dict[str, int], overlap: int, threshold: float, block_rows: int, degree: int, candidates: int, alpha: float, beam: int, recall: float) -> DataFrame:
-    """``(label, rep, links, root)`` of each vector in each of its shards."""
+def _pivot_shards(stage: Stage, large: DataFrame, overlap: int) -> DataFrame:
+    """``(node, shards)`` of the vectors of large clusters: the nearest of each cluster's pivots.
+
+    ``large`` has a row for each vector and cluster, with the cluster's size ``n`` and number of ``pivots``.
+    """
+    numbered = Window.partitionBy("label", "cluster").orderBy("key")
+    chosen = large.where(F.pmod(F.xxhash64(F.lit("pivot"), "key"), F.col("n")) < F.col("pivots")).withColumn("number", F.row_number().over(numbered))
+    chunks = F.ceil(F.col("n") / _CHUNK).cast("int")
+    chosen = stage.table(chosen.select("label", "cluster", "n", "number", "vector"), "pivots")
+    pivots = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("label", "cluster", "chunk", "number", "vector")
+    dealt = large.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int")).select("label", "cluster", "chunk", "node", "vector")
+
+    def nearest(vectors: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"node": [], "shards": []})
+        first = np.int64(vectors["cluster"].iloc[0]) << 32
+        shards = np.full((len(vectors), 1), first)
+        if len(pivots):
+            order = np.argsort(-(_unit(_matrix(vectors["vector"])) @ _unit(_matrix(pivots["vector"])).T), axis=1, kind="stable")[:, :overlap]
+            shards = first + pivots["number"].to_numpy()[order]
+        return pd.DataFrame({"node": vectors["node"], "shards": list(shards)})
+
+    keys = ("label", "cluster", "chunk")
+    return dealt.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInPandas(nearest, "node bigint, shards array<bigint>")
+
+
+def _searched(spark, stage: Stage, ranked: DataFrame, widths: dict[str, int], overlap: int, threshold: float, shard_rows: int, block_rows: int, degree: int, candidates: int, alpha: float, beam: int, recall: float) -> DataFrame:
+    """``(label, node, links, root)`` of each vector in each of its shards."""
     of_label = spark.createDataFrame(list(widths.items()), "label string, width int")
-    taken = F.array_sort(F.slice("near", F.lit(1), F.coalesce("width", F.lit(overlap))))
+    taken = F.slice("near", F.lit(1), F.coalesce("width", F.lit(overlap)))
     assigned = ranked.join(F.broadcast(of_label), "label", "left").withColumn("clusters", taken).drop("near", "width")
-    members = stage.table(assigned.withColumn("cluster", F.explode("clusters")), "members")
-    sizes = members.groupBy("label", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    members = members.join(sizes, ["label", "cluster"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = assigned.withColumn("cluster", F.explode("clusters"))
+    sizes = stage.table(dealt.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / shard_rows).alias("pivots")), "sizes")
+    if sizes.where(F.col("n") > block_rows).isEmpty():
+        assigned = assigned.withColumn("shards", F.array_sort(F.transform("clusters", lambda c: F.shiftleft(c.cast("bigint"), 32))))
+    else:
+        sized = dealt.drop("clusters").join(sizes, ["label", "cluster"])
+        small = sized.where(F.col("n") <= block_rows).select("node", F.array(F.shiftleft(F.col("cluster").cast("bigint"), 32)).alias("shards"))
+        every = small.unionAll(_pivot_shards(stage, sized.where(F.col("n") > block_rows), overlap))
+        joint = every.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shards")))).alias("shards"))
+        assigned = assigned.join(joint, "node")
+    members = stage.table(assigned.drop("clusters").withColumn("shard", F.explode("shards")), "members")
+    sizes = members.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    members = members.join(sizes, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         vectors = _unit(_matrix(shard["vector"]))
         graph = robust_prune(vectors, degree, candidates, alpha)
-        reps = shard["rep"].to_numpy()
-        return pd.DataFrame({"rep": reps, "near": [reps[g[g >= 0]] for g in graph]})
+        nodes = shard["node"].to_numpy()
+        return pd.DataFrame({"node": nodes, "near": [nodes[g[g >= 0]] for g in graph]})
 
     # A number of tasks by shards, as a shard's bytes say little about its work.
     tasks = max(shuffle_width(spark), min(10_000, sizes.agg(F.sum("blocks")).first()[0] or 1))
-    lists = members.repartition(tasks, "label", "cluster", "block").groupBy("label", "cluster", "block").applyInPandas(build, "rep bigint, near array<bigint>")
-    united = stage.table(lists.groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "lists")
+    lists = members.repartition(tasks, "label", "shard", "block").groupBy("label", "shard", "block").applyInPandas(build, "node bigint, near array<bigint>")
+    united = stage.table(lists.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "lists")
 
-    # Each shard gets its block's vectors with their united lists, and every vector of the cluster as a query.
-    data = members.join(united, "rep", "left").withColumn("is_data", F.lit(True))
+    # Each shard gets its block's vectors with their united lists, and every vector of the shard as a query.
+    data = members.join(united, "node", "left").withColumn("is_data", F.lit(True))
     others = members.where("blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block")
     queries = others.withColumn("block", F.col("to")).drop("to").withColumn("near", F.lit(None).cast("array<bigint>")).withColumn("is_data", F.lit(False))
-    columns = ["label", "cluster", "block", "rep", "copies", "vector", "audited", "clusters", "near", "is_data"]
-    searched = data.select(columns).unionByName(queries.select(columns)).repartition(tasks, "label", "cluster", "block")
+    columns = ["label", "shard", "block", "node", "copies", "vector", "audited", "shards", "near", "is_data"]
+    searched = data.select(columns).unionByName(queries.select(columns)).repartition(tasks, "label", "shard", "block")
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         own = shard[shard["is_data"]]
-        vectors, reps = _unit(_matrix(own["vector"])), own["rep"].to_numpy()
-        place = {r: k for k, r in enumerate(reps.tolist())}
+        vectors, nodes = _unit(_matrix(own["vector"])), own["node"].to_numpy()
+        place = {r: k for k, r in enumerate(nodes.tolist())}
         lists = [[place[x] for x in (near if near is not None else ()) if x in place] for near in own["near"]]
         graph = np.full((len(own), max([1, *map(len, lists)])), -1, np.int64)
         for k, near in enumerate(lists):
             graph[k, : len(near)] = near
-        points, ids = _unit(_matrix(shard["vector"])), shard["rep"].to_numpy()
-        q, v = audited_search(vectors, reps, graph, points, ids, shard["audited"].to_numpy(), threshold, beam, recall)
-        other = ids[q] != reps[v]
+        points, ids = _unit(_matrix(shard["vector"])), shard["node"].to_numpy()
+        q, v = audited_search(vectors, nodes, graph, points, ids, shard["audited"].to_numpy(), threshold, beam, recall)
+        other = ids[q] != nodes[v]
         q, v = q[other], v[other]
         # What one side of a pair within the block found, both have.
         inside = np.array([place.get(i, -1) for i in ids.tolist()], np.int64)
         row_of = np.nonzero(inside >= 0)[0][np.argsort(inside[inside >= 0])]
         both = inside[q] >= 0
         q, v = np.concatenate([q, row_of[v[both]]]), np.concatenate([v, inside[q[both]]])
-        q, v = np.divmod(np.unique(q * np.int64(len(reps)) + v), len(reps))
+        q, v = np.divmod(np.unique(q * np.int64(len(nodes)) + v), len(nodes))
         left, right = _matrix(shard["vector"]), _matrix(own["vector"])
         sure = np.einsum("ij,ij->i", left[q], right[v]) / (np.linalg.norm(left, axis=1)[q] * np.linalg.norm(right, axis=1)[v]) >= threshold
         q, v = q[sure], v[sure]
-        # A pair that shares several clusters counts in the first of them.
-        a, b = np.stack(shard["clusters"].to_numpy()), np.stack(own["clusters"].to_numpy())
+        # A pair that shares several shards counts in the first of them.
+        a, b = _rows(shard["shards"]), _rows(own["shards"])
         first = np.zeros(len(q), bool)
         for at in range(0, len(q), _PAIRS):
             x, y = a[q[at : at + _PAIRS]], b[v[at : at + _PAIRS]]
-            common = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, np.iinfo(np.int32).max).min(axis=1)
-            first[at : at + _PAIRS] = common == shard["cluster"].iloc[0]
+            common = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, np.iinfo(np.int64).max).min(axis=1)
+            first[at : at + _PAIRS] = common == shard["shard"].iloc[0]
         links = np.bincount(q[first], own["copies"].to_numpy()[v[first]], len(shard)).astype(np.int64)
-        # Links of the shard reduced to stars around their smallest ids.
-        root = _roots(q, v, ids, reps)
-        return pd.DataFrame({"label": shard["label"].iloc[0], "rep": ids, "links": links, "root": root})
+        # Links of the shard reduced to stars around their smallest nodes.
+        root = _roots(q, v, ids, nodes)
+        return pd.DataFrame({"label": shard["label"].iloc[0], "node": ids, "links": links, "root": root})
 
-    return searched.groupBy("label", "cluster", "block").applyInPandas(search, "label string, rep bigint, links bigint, root bigint")
+    return searched.groupBy("label", "shard", "block").applyInPandas(search, "label string, node bigint, links bigint, root bigint")
 
 
 def near_duplicates(
@@ -354,12 +404,12 @@ def near_duplicates(
     label_col: str = "label",
     threshold: float = 0.98,
     overlap: int = 3,
-    shard_rows: int = 1000,
+    shard_rows: int = 500,
     block_rows: int = 6000,
-    degree: int = 24,
-    candidates: int = 48,
+    degree: int = 18,
+    candidates: int = 36,
     alpha: float = 1.2,
-    beam: int = 16,
+    beam: int = 8,
     recall: float = 0.98,
     sample_rows: int = 20_000,
     most_centroids: int = 4096,
@@ -370,7 +420,7 @@ def near_duplicates(
     double precision, is at least ``threshold``. Vectors that are null, zero or that
     hold null or non-finite components link with nothing, and vectors of different
     lengths do not link with each other. Equal vectors are searched once and counted as often as they occur. Rows
-    that share an id are vectors of their own in the counts. An empty table gives no
+    that share an id are vectors of their own in the counts, with the smallest id of their own component. An empty table gives no
     rows; other columns are not read.
     """
     spark = df.sparkSession
@@ -385,9 +435,9 @@ def near_duplicates(
     key = F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)
     rows = stage.table(rows.withColumn("key", key), "rows")
     distinct = rows.where("label IS NOT NULL").groupBy("label", "key").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.coalesce(F.max(F.col("id") % 50 == 0), F.lit(False)).alias("audited")
+        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.coalesce(F.max(F.col("id") % 50 == 0), F.lit(False)).alias("audited")
     )
-    distinct = stage.table(distinct, "distinct")
+    distinct = stage.table(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     fitted = centroids(distinct, shard_rows, sample_rows, most_centroids)
     centres = spark.sparkContext.broadcast(fitted)
 
@@ -402,7 +452,8 @@ def near_duplicates(
                         clusters = np.argsort(-(_unit(_matrix(part["vector"])) @ near.T), axis=1, kind="stable")[:, :ranks]
                     yield part.assign(near=list(clusters))
 
-        return distinct.mapInPandas(run, "label string, key string, rep bigint, copies bigint, vector array<double>, audited boolean, near array<int>")
+        columns = distinct.select("label", "key", "node", "copies", "vector", "audited")
+        return columns.mapInPandas(run, "label string, key string, node bigint, copies bigint, vector array<double>, audited boolean, near array<int>")
 
     # Of each label with several clusters, the overlap under which the audited links share a cluster.
     ranks = max(2 * overlap, _RANKS)
@@ -411,7 +462,7 @@ def near_duplicates(
     widths = overlaps(truth, fitted, overlap, ranks, recall)
 
     def search_all(some: DataFrame, widths: dict[str, int], beam: int) -> DataFrame:
-        return stage.table(_searched(spark, stage, some, widths, overlap, threshold, block_rows, degree, candidates, alpha, beam, recall), "found")
+        return stage.table(_searched(spark, stage, some, widths, overlap, threshold, shard_rows, block_rows, degree, candidates, alpha, beam, recall), "found")
 
     found = search_all(ranked, widths, beam)
     while short := [label for label, _, r in map(tuple, mean_recall(found, truth).where(F.col("recall") < recall).collect())]:
@@ -425,18 +476,17 @@ def near_duplicates(
         found = stage.table(found.join(again, "label", "left_anti").unionByName(wider), "joint")
         if beam >= 2 * block_rows and all(widths[label] >= len(fitted[label]) for label in short if label in fitted):
             break  # brute force; what is left is rounding
-    components = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), stage)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_key = (
-        distinct.select("label", "key", "rep", "copies")
-        .join(links, "rep", "left")
-        .join(components, F.col("rep") == F.col("node"), "left")
-        .select(
-            F.col("label").alias("k_label"),
-            F.col("key").alias("k_key"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+    components = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), stage)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    placed = (
+        distinct.select("label", "key", "node", "first_id", "copies")
+        .join(links, "node", "left")
+        .join(components.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+        .withColumn("root", F.coalesce("component", "node"))
+    )
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_key = placed.join(least, "root").select(
+        F.col("label").alias("k_label"), F.col("key").alias("k_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     joined = rows.select("id", "label", "key").join(of_key, (F.col("label") == F.col("k_label")) & (F.col("key") == F.col("k_key")), "left")
     component = F.coalesce("component_id", "id")
@@ -445,9 +495,9 @@ def near_duplicates(
     )
 
 
-def _roots(q: np.ndarray, v: np.ndarray, ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """For each row, the smallest id that the shard's pairs connect it with."""
-    names, place = np.unique(np.concatenate([ids, reps]), return_inverse=True)
+def _roots(q: np.ndarray, v: np.ndarray, ids: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """For each row, the smallest node that the shard's pairs connect it with."""
+    names, place = np.unique(np.concatenate([ids, nodes]), return_inverse=True)
     a, b = place[: len(ids)][q], place[len(ids) :][v]
     label = np.arange(len(names))
     while len(a):

@@ -7,7 +7,8 @@ import pytest
 from heddle.llm import graph, templates
 
 
-def brute_templates(rows, depth=3, least=5, share=0.5):
+def brute_templates(rows, depth=3, least=5, share=0.5, long=50):
+    whole = defaultdict(set)
     lines, leaves = [], defaultdict(set)
     for n, (i, text) in enumerate(rows):
         for at, line in enumerate((text or "").split("\n")):
@@ -16,6 +17,8 @@ def brute_templates(rows, depth=3, least=5, share=0.5):
             lines.append(((i, text or ""), n, at, leaf, tuple(tokens)))
             if tokens:
                 leaves[leaf].add((i, text or ""))
+            if len(tokens) >= long:
+                whole[tuple(tokens)].add((i, text or ""))
     different = defaultdict(set)
     for key, _, _, leaf, tokens in lines:
         if tokens and len(leaves[leaf]) >= least:
@@ -39,7 +42,7 @@ def brute_templates(rows, depth=3, least=5, share=0.5):
         kept, dropped = [], 0
         for at, line in enumerate((text or "").split("\n")):
             _, _, _, leaf, tokens = next(x for x in lines if x[1] == n and x[2] == at)
-            if (leaf, tokens) in template and len(docs[template[leaf, tokens]]) >= least:
+            if len(whole[tokens]) >= 2 or (leaf, tokens) in template and len(docs[template[leaf, tokens]]) >= least:
                 dropped += 1
             else:
                 kept.append(line)
@@ -50,6 +53,8 @@ def brute_templates(rows, depth=3, least=5, share=0.5):
 def test_templates_against_brute_force(documents):
     rows = [(i, f"Own line number of document {'abcdefgh'[i % 8] * (i + 1)}\nLogged in at {i}:0{i} by user{i} from home\n\nShared footer line\nMore text here {i}") for i in range(12)]
     rows += [(50, None), (51, ""), (52, "\n\n"), (53, "Shared footer line"), (53, "Shared footer line"), (54, "Logged in at noon by nobody from work"), (None, "Shared footer line\nkept"), (55, "word " * 40_000), (56, "Shared\tfooter  line\r")]
+    passage = " ".join(f"of{'abcdefgh'[k % 8]} words" for k in range(25))
+    rows += [(60, f"{passage} 12\nown words"), (61, f" {passage}\t12a "), (62, passage), (63, f"{passage[9:]}\n{passage[9:]}"), (64, passage[:-1])]
     for least in (3, 5, 100):
         found = templates.drop_boilerplate(documents(rows, extra=True), min_docs=least).collect()
         assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in found) == brute_templates(rows, least=least)
@@ -57,7 +62,8 @@ def test_templates_against_brute_force(documents):
 
 
 def brute_links(rows, threshold=0.98):
-    out = {}
+    """(id, links, component, kept) of each row."""
+    out = []
     good = {}
     for k, (i, v, label) in enumerate(rows):
         if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
@@ -76,11 +82,11 @@ def brute_links(rows, threshold=0.98):
                 reach.add(n)
                 todo.append(n)
         least = min(rows[n][0] for n in reach)
-        out[i] = (len(adjacent[k]), least, least == i)
+        out.append((i, len(adjacent[k]), least, least == i))
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "block_rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "block_rows": 50}, {"shard_rows": 60, "block_rows": 90, "most_centroids": 4}])
 def test_graph_against_brute_force(spark, options):
     rng = np.random.default_rng(6)
     rows = []
@@ -96,7 +102,8 @@ def test_graph_against_brute_force(spark, options):
     rows += [(1, None, 1), (2, [0.0] * 16, 1), (3, [float("nan")] + [1.0] * 15, 1), (4, [None] + [1.0] * 15, 1), (5, [float("inf")] * 16, 1), (6, rows[0][1], None), (7, [1.0, 2.0], 1), (8, [], 1), (9, [2.0 * x for x in rows[0][1]], 1)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id bigint, embedding array<float>, label int, key string, rep string").repartition(3)
     found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in graph.near_duplicates(df, **options).collect()}
-    want = brute_links(rows)
+    want = {i: rest for i, *rest in brute_links(rows)}
+    want = {i: tuple(rest) for i, rest in want.items()}
     assert len(found) == len(rows)
     hit, there = sum(f[0] for f in found.values()), sum(w[0] for w in want.values())
     assert hit >= 0.97 * there and all(found[i][0] <= want[i][0] for i in want)
@@ -104,6 +111,19 @@ def test_graph_against_brute_force(spark, options):
     assert all(found[i] == want[i] for i in range(1, 9))
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    a, b, c = rng.normal(size=(3, 16))
+    rows = [(1, a, 0), (2, a * 1.01 + 0.001, 0), (1, b, 0), (3, b + 0.001, 0), (1, c, 1), (1, c, 1), (4, c, 1), (1, a, 1), (None, b, 1), (2, None, 0), (2, c, None)]
+    rows += [(5 + k % 7, rng.normal(size=16), 0) for k in range(60)]
+    rows = [(i, None if v is None else v.tolist(), label) for i, v, label in rows]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    order = lambda x: sorted(x, key=repr)
+    found = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in graph.near_duplicates(df).collect()]
+    known = [r for r in rows if r[0] is not None]
+    assert order(f for f in found if f[0] is not None) == order(brute_links(known)) and len(found) == len(rows)
+
+
 def test_graph_of_nothing(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert graph.near_duplicates(spark.createDataFrame([], schema)).count() == 0
