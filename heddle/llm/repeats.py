@@ -10,17 +10,22 @@ A key that occurs at one place only has nothing to share; its strings are never
 Strings of the other keys are stored once with their number, go to shards of bounded
 size by key, and each shard finds its repeated windows by a suffix array (induced
 sorting) and permuted common prefixes. A string stored for several places repeats as a
-whole. Results go back to the places and are cut from the documents.
+whole, and a key with one string in all needs no suffix array: two windows of a string
+have their gram at different places, so they are never equal. Results go back to the
+places and are cut from the documents.
 
 One key may have more different strings than a shard may hold (a phrase of a gram's length
 that very many documents share, each in words of its own). Windows of such keys are
 counted by their place in relation to the gram and a 128-bit digest instead,
-an exact count that any number of tasks can share.
+a count that any number of tasks can share. Strings too are told apart by a 128-bit digest.
+Neither is compared byte by byte: that two of n differing ones meet has a chance below
+n^2 / 2^129, a billionth for 10^14 of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -85,19 +90,25 @@ def keyed_runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+_FIRST, _SPAN = 1 << 32, 1 << 16  # a run in one number: first window, number of windows, place of the gram after the first window
+
+
 def _anchor_rows(length: int):
-    """Each key of a document once, with its number of places."""
+    """Each run of a document with its key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             for start in range(0, len(batch), 500):
-                keys, times = zip(*(np.unique(keyed_runs(t.as_py().encode(), length)[0], return_counts=True) for t in texts.slice(start, 500)), strict=True)
-                sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-                row = pa.array(np.repeat(np.arange(start, start + len(keys)), sizes))
+                keys, row, runs = [], [], []
+                for k, text in enumerate(texts.slice(start, 500)):
+                    own, first, last, gram = keyed_runs(text.as_py(), length)
+                    keys.append(own)
+                    row.append(np.full(len(own), start + k))
+                    runs.append(first * _FIRST + (last - first) * _SPAN + (gram - first))
+                at = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(keys)), pa.array(np.concatenate(times))],
-                    ["id", "mark", "key", "places"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(keys)), pa.array(np.concatenate(runs))], ["id", "mark", "key", "run"]
                 )
 
     return run
@@ -107,7 +118,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, as they are about to be shuffled."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        packed = [pack(t.as_py().encode()) for t in batch.column(2)]
+        packed = [pack(t.as_py()) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "mark", "packed"])
 
 
@@ -131,16 +142,16 @@ def _cut_strings(length: int):
 
             for k in range(len(batch)):
                 text = unpack(batch.column(2)[k].as_py())
-                keys, first, last, gram = keyed_runs(text, length)
-                shared = batch.column(3).slice(k, 1).flatten().to_numpy(zero_copy_only=False)
-                for r in np.nonzero(np.isin(keys, shared))[0].tolist():
-                    a, b = int(first[r]), int(last[r]) - 1 + length
+                shared = batch.column(3).slice(k, 1).flatten()
+                runs = shared.field("run").to_numpy(zero_copy_only=False)
+                first, span, gram = runs // _FIRST, runs % _FIRST // _SPAN, runs % _SPAN
+                for key, a, n, offset in zip(shared.field("key").to_pylist(), first.tolist(), span.tolist(), gram.tolist(), strict=True):
+                    b = a + n - 1 + length
                     string = text[a:b]
-                    offset = int(gram[r]) - a
                     digest = hashlib.blake2b(string, digest_size=16, salt=offset.to_bytes(4, "little")).digest()
                     new = digest not in seen
                     seen.add(digest)
-                    rows.append((k, int(keys[r]), digest, a, offset, string if new else None))
+                    rows.append((k, key, digest, a, offset, string if new else None))
                     held += 64 + (b - a if new else 0)
                     if held > _EMIT_BYTES:
                         yield emit()
@@ -151,50 +162,70 @@ def _cut_strings(length: int):
     return run
 
 
-def repeated_windows(strings: list[bytes], copies: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string, runs (first, last + 1) of its windows that occur elsewhere, by one suffix array over all of them."""
+def repeated_windows(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """For strings that lie one after the other in ``data``, whether the window of ``length`` from each byte on occurs elsewhere.
+
+    By one suffix array over all of them; windows do not cross strings.
+    """
     # UTF-8 has no bytes 0xFE and 0xFF: 0 and 1 are free for the sentinel and between strings.
-    joined = np.frombuffer(b"".join(s + b"\xff" for s in strings) + b"\xfe", np.uint8) + np.uint8(2)
-    order = suffix_array(joined)
-    before, common = permuted_lcp(joined, order)
+    joined = np.full(len(data) + len(sizes) + 1, 1, np.uint8)
+    joined[-1] = 0
+    place = np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)
+    joined[place] = data + np.uint8(2)
+    before, common = permuted_lcp(joined, suffix_array(joined))
     long = np.nonzero(common >= length)[0]
     repeated = np.zeros(len(joined), bool)
     repeated[long] = True
     repeated[before[long]] = True
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    out = []
-    for start, size, n in zip(starts.tolist(), sizes.tolist(), copies.tolist(), strict=True):
-        windows = size - length + 1
-        if n > 1:
-            out.append(np.array([0, windows]))
-            continue
-        own = np.concatenate([[False], repeated[start : start + windows], [False]])
-        out.append(np.nonzero(own[1:] != own[:-1])[0])
-    return out
+    return repeated[place]
+
+
+def _verdicts(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """``(key, digest, runs)`` of the strings of a shard that hold windows which occur elsewhere: first window, last window + 1."""
+    rows = rows.combine_chunks()
+    key, copies = rows["key"].to_numpy(), rows["copies"].to_numpy()
+    strings = rows["bytes"].chunk(0)
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data, offsets = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    sizes = np.diff(offsets)
+    _, group, times = np.unique(key, return_inverse=True, return_counts=True)
+    open_to_doubt = times[group] > 1
+    repeated = np.zeros(len(data), bool)
+    if open_to_doubt.any():
+        inside = np.repeat(open_to_doubt, sizes)
+        repeated[inside] = repeated_windows(data[inside], sizes[open_to_doubt], length)
+    # Windows only; runs end with their string.
+    left = offsets[1:].repeat(sizes) - np.arange(len(data))
+    repeated |= np.repeat(copies > 1, sizes)
+    repeated &= left >= length
+    edge = np.diff(np.concatenate([[False], repeated, [False]]).astype(np.int8))
+    first, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    of = np.searchsorted(offsets, first, "right") - 1
+    some, head = np.unique(of, return_index=True)
+    flat = (np.stack([first, stop], axis=1) - offsets[of][:, None]).astype(np.int32).ravel()
+    lists = pa.ListArray.from_arrays(pa.array((2 * np.append(head, len(of))).astype(np.int32)), pa.array(flat))
+    return pa.RecordBatch.from_arrays([pa.array(key[some]), rows["digest"].chunk(0).take(pa.array(some)), lists], ["key", "digest", "runs"])
 
 
 def _shard(length: int):
+    """Shards come in order; the last shard of a batch waits for the next batch."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.Table] = []
         current = None
-
-        def solved() -> pa.RecordBatch:
-            strings = [h[2] for h in held]
-            runs = repeated_windows(strings, np.array([h[3] for h in held]), length)
-            some = [k for k, r in enumerate(runs) if len(r)]
-            columns = [pa.array([held[k][0] for k in some], pa.int64()), pa.array([held[k][1] for k in some], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([runs[k].tolist() for k in some], pa.list_(pa.int32()))], ["key", "digest", "runs"])
-
         for batch in batches:
-            for shard, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if shard != current and held:
-                    yield solved()
+            if not len(batch):
+                continue
+            shard, rows = batch.column(0).to_numpy(), pa.Table.from_batches([batch])
+            cuts = [0, *(np.nonzero(np.diff(shard))[0] + 1).tolist(), len(batch)]
+            for a, b in itertools.pairwise(cuts):
+                if held and shard[a] != current:
+                    yield _verdicts(pa.concat_tables(held), length)
                     held = []
-                current = shard
-                held.append(tuple(row))
+                current = shard[a]
+                held.append(rows.slice(a, b - a))
         if held:
-            yield solved()
+            yield _verdicts(pa.concat_tables(held), length)
 
     return run
 
@@ -249,12 +280,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("length must be 48 to 4000")
     spark = df.sparkSession
     stage = Stage(spark, "repeats")
-    source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     source = source.select("id", F.xxhash64("text").alias("mark"), "text")
-    anchors = stage.table(source.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), f"id {kind}, mark bigint, key bigint, places bigint"), "anchors")
-    shared = anchors.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
-    hits = anchors.join(shared, "key", "left_semi").groupBy("id", "mark").agg(F.collect_set("key").alias("keys"))
+    anchors = source.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), f"id {kind}, mark bigint, key bigint, run bigint")
+    anchors = stage.table(anchors, "anchors")
+    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Equal rows, of id and text, have equal runs; each has its places once.
+    hits = anchors.join(shared, "key", "left_semi").groupBy("id", "mark").agg(F.collect_set(F.struct("key", "run")).alias("keys"))
     packed = source.mapInArrow(_packed, f"id {kind}, mark bigint, packed binary")
 
     def with_document(other: DataFrame, how: str) -> DataFrame:
