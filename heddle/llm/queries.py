@@ -70,6 +70,7 @@ t AS (
   SELECT doc_id, i, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM l),
 p AS (SELECT doc_id, i, concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:3], ' ')) AS leaf, array_to_string(w, ' ') AS line FROM t WHERE len(w) > 0),
 c AS (SELECT * FROM p WHERE leaf IN (SELECT leaf FROM p GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5)),
+e AS (SELECT leaf, line FROM p WHERE CAST(split_part(leaf, ' ', 1) AS BIGINT) >= 50 GROUP BY leaf, line HAVING count(DISTINCT doc_id) >= 2),
 d AS (SELECT leaf, line, count(DISTINCT doc_id) AS docs FROM c GROUP BY leaf, line),
 s AS (SELECT leaf, line, docs, unnest(range(1, len(x) + 1)) AS place, unnest(x) AS token FROM (SELECT *, string_split(line, ' ') AS x FROM d)),
 k AS (SELECT leaf, place, token FROM s WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(docs) >= 5),
@@ -78,7 +79,8 @@ m AS (
   FROM s LEFT JOIN k ON s.leaf = k.leaf AND s.place = k.place AND s.token = k.token
   GROUP BY s.leaf, s.line HAVING count(k.token) >= 0.5 * count(*)),
 h AS (SELECT c.doc_id, c.i, c.leaf, m.template FROM c JOIN m ON c.leaf = m.leaf AND c.line = m.line),
-x AS (SELECT doc_id, i FROM h WHERE (leaf, template) IN (SELECT (leaf, template) FROM h GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 5)),
+x AS (SELECT doc_id, i FROM h WHERE (leaf, template) IN (SELECT (leaf, template) FROM h GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 5)
+  UNION SELECT doc_id, i FROM p WHERE (leaf, line) IN (SELECT (leaf, line) FROM e)),
 r AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text, count(*) AS n FROM l ANTI JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id),
 n AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines FROM l GROUP BY doc_id)
 SELECT n.doc_id, n_lines, CAST(n_lines - coalesce(r.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(r.text, '')) AS kept_sha256
