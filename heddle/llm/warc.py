@@ -33,7 +33,8 @@ def write_archive(df: DataFrame, root: str, id_col: str = "page_id", url_col: st
     Of records with equal payloads of at least ``min_bytes``, the one with the smallest id
     is a response and the others are revisits of it; shorter payloads are all responses.
     A null payload is empty, a null URL an empty target. Line ends in a URL are escaped.
-    Ids must be unique and not null; other columns are not read.
+    Ids must not be null. Rows that share an id are records of their own, and rows that share the
+    smallest id of a payload are all responses; the payload is still stored once. Other columns are not read.
     """
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     pages = df.select(
@@ -66,7 +67,9 @@ def write_archive(df: DataFrame, root: str, id_col: str = "page_id", url_col: st
     )
     records.select("key", header.alias("header")).write.option("compression", "zstd").parquet(f"{root}/headers")
     owners = first.select(F.col("first_id").alias("id"), F.col("key").alias("first_key"))
-    stored = pages.join(owners, "id").where(F.col("key") == F.col("first_key")).select("key", "payload")
+    # Rows with equal id and payload meet in the join, so that dropping them moves nothing again.
+    stored = pages.select("id", "key", "payload").join(owners, "id").where(F.col("key") == F.col("first_key"))
+    stored = stored.dropDuplicates(["id", "key"]).select("key", "payload")
     stored.write.option("compression", "zstd").parquet(f"{root}/payloads")
 
 
@@ -92,9 +95,9 @@ def parse_records(records: DataFrame) -> DataFrame:
     """
     record = F.col("record")
     field = lambda name, pattern: F.regexp_extract("header", rf"\r\n{name}: {pattern}", 1)
-    # Latin-1 maps bytes to characters one to one, so the cut is at the right byte.
-    cut = records.select(F.substring_index(F.decode(record, "ISO-8859-1"), "\r\n\r\n", 1).alias("latin"), "record", "payload")
-    cut = cut.select(F.decode(F.encode("latin", "ISO-8859-1"), "UTF-8").alias("header"), F.length("latin").alias("header_bytes"), "record", "payload")
+    # The cut is made in bytes; only the header is read as text.
+    cut = records.select(F.substring_index(record.cast("string"), "\r\n\r\n", 1).alias("header"), "record", "payload")
+    cut = cut.select("header", F.octet_length("header").alias("header_bytes"), "record", "payload")
     parsed = cut.select(
         field("WARC-Record-ID", r"<urn:record:(-?\d+)>").cast("bigint").alias("record_id"),
         field("WARC-Type", r"([^\r]*)").alias("record_type"),

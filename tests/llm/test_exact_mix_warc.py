@@ -76,6 +76,29 @@ def test_mix(documents, mixed_rows):
     assert copies == {r.doc_id: r.taken // r.size for r in found if r.taken}
 
 
+def test_mix_of_repeated_rows_and_clashing_names(documents):
+    rows = [(1, "a b c", None, "s"), (1, "a b c", None, "s"), (1, "a b", None, "s"), (None, "d e", None, None), (None, "f g", None, "s"), (2, "w " * 5, None, "t")]
+    df = documents(rows).selectExpr("*", "'x' AS _copies", "'y' AS _pass", "'z' AS _id", "1 AS taken")
+    plan = Counter((r.doc_id, r.size, r.taken // r.size) for r in mixing.mix(df).collect())
+    found = mixing.mixed_documents(df)
+    assert found.columns == df.columns
+    got = Counter((r.doc_id, len(r.text.split())) for r in found.collect())
+    want = Counter()
+    for (i, size, times), n in plan.items():
+        want[i, size] += times * n
+    assert got == +want
+
+
+def test_targets_of_many_sources(documents):
+    rows = [(i, "w " * (1 + i % 40), None, f"s{i % 97}" if i % 50 else None) for i in range(800)]
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    by_id = {i: s for i, _, _, s in rows}
+    assert all(r.target == pytest.approx(want[by_id[r.doc_id]]) for r in mixing.mix(documents(rows)).collect())
+
+
 def test_mix_of_nothing(documents):
     assert mixing.mix(documents([])).count() == 0
     assert [(r.size, r.taken) for r in mixing.mix(documents([(1, None), (2, "")])).collect()] == [(0, 0), (0, 0)]
@@ -114,6 +137,15 @@ def test_archive(spark, tmp_path, least):
     assert payloads.count() == payloads.select("key").distinct().count() == len({p[2] or "" for p in pages})
 
 
+def test_archive_of_repeated_rows(spark, tmp_path):
+    pages = [(1, "u", "same"), (1, "u", "same"), (1, "v", "other"), (2, "w", "same"), (2, "w", "same")]
+    warc.write_archive(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3), str(tmp_path))
+    found = warc.parse_records(warc.read_archive(spark, str(tmp_path))).collect()
+    got = sorted((r.record_id, bytes(r.payload).decode(), r.record_type, r.refers_to) for r in found)
+    assert got == [(1, "other", "response", None), (1, "same", "response", None), (1, "same", "response", None), (2, "same", "revisit", 1), (2, "same", "revisit", 1)]
+    assert spark.read.parquet(f"{tmp_path}/payloads").count() == 2
+
+
 def test_damage_is_noticed(spark, tmp_path):
     root = str(tmp_path / "archive")
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id bigint, url string, html string"), root)

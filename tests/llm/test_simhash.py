@@ -100,6 +100,61 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint"), Stage(spark, "t")).count() == 0
 
 
+def test_long_text_is_read_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("abAB", k=rng.randint(1, 9))) for _ in range(3000)).encode()
+    want = simhash.shingle_hashes(text, 4)
+    monkeypatch.setattr("heddle.llm.shared._PIECE_BYTES", 300)
+    assert (simhash.shingle_hashes(text, 4) == want).all() and len(want) == 2997
+    assert len(simhash.shingle_hashes(b"x" * 5000, 4)) == 1 and len(simhash.shingle_hashes(b" \n" * 900, 4)) == 0
+
+
+def test_text_of_many_megabytes(documents):
+    text = "some words of a very long text " * 700_000  # over 20 MB
+    found = {r.doc_id: r for r in simhash.near_duplicates(documents([(1, text), (2, text + "end"), (3, "short")])).collect()}
+    assert found[2].component_id == 1 and found[3].component_id == 3
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_representatives_against_brute_force(documents):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows, n = [(1, "a b c d e f"), (2, None), (3, ""), (4, " \n"), (5, "one two"), (6, "ONE  two"), (7, "one two three"), (7, "one two three")], 10
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(100, 300))
+        for _ in range(rng.randint(1, 5)):
+            text = base[:]
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((n, " ".join(text)))
+            n += 1
+    sets = [shingle_set(t or "") for _, t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = simhash.representatives(documents(rows).selectExpr("*", "'x' AS _kept_id", "'y' AS _row", "1 AS mark"))
+    assert kept.columns[-3:] == ["_kept_id", "_row", "mark"]
+    ids = [r.doc_id for r in kept.collect()]
+    least = {g: min(i for (i, _), x in zip(rows, group, strict=True) if x == g) for g in set(group)}
+    assert set(ids) >= set(least.values()) and len(ids) == len(set(ids))  # no group is lost
+    assert len(ids) <= len(least) + 0.1 * (len(rows) - len(least))  # keys miss few links of 0.8
+
+
+def test_spanning_forest_connects_what_is_close():
+    rng = np.random.default_rng(3)
+    fp = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in rng.integers(0, 1 << 62, 4, dtype=np.uint64)]))
+    links = simhash._spanning_forest(fp, 6)
+    assert all(0 < (a ^ b).bit_count() <= 6 for a, b in links)
+    assert len(fp) - len(links) == len(set(brute_components([int(x) for x in fp], [int(x) for x in fp], 6).values()))
+
+
 def test_empty_and_representatives(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     df = documents([(3, "a b c d e f"), (1, "A b c d e f"), (2, "quite another text with words of its own")])
