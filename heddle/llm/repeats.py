@@ -42,6 +42,7 @@ _PLACE_BITS = 24
 _PART = (1 << _PLACE_BITS) - 4096  # bytes whose windows are keyed in one go
 _MULTIPLIERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _EMIT_BYTES = 8 << 20
+_SEEN = 300_000  # digests that a task remembers
 
 
 def _gram_hashes(text: bytes) -> np.ndarray:
@@ -94,7 +95,7 @@ _FIRST, _SPAN = 1 << 32, 1 << 16  # a run in one number: first window, number of
 
 
 def _anchor_rows(length: int):
-    """Each run of a document with its key."""
+    """Each key of a document once, with its first run and an array of its others, if there are any."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +107,18 @@ def _anchor_rows(length: int):
                     keys.append(own)
                     row.append(np.full(len(own), start + k))
                     runs.append(first * _FIRST + (last - first) * _SPAN + (gram - first))
-                at = pa.array(np.concatenate(row))
+                keys, row, runs = (np.concatenate(x) for x in (keys, row, runs))
+                order = np.lexsort((keys, row))
+                keys, row, runs = keys[order], row[order], runs[order]
+                is_first = np.ones(len(keys), bool)
+                is_first[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+                head = np.nonzero(is_first)[0]
+                others = np.diff(head, append=len(keys)) - 1
+                offsets = pa.array(np.append(0, np.cumsum(others)).astype(np.int32), mask=np.append(others == 0, False))
+                at = pa.array(row[head])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(keys)), pa.array(np.concatenate(runs))], ["id", "mark", "key", "run"]
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(keys[head]), pa.array(runs[head]), pa.ListArray.from_arrays(offsets, pa.array(runs[~is_first]))],
+                    ["id", "mark", "key", "run", "others"],
                 )
 
     return run
@@ -123,14 +133,15 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_strings(length: int):
-    """Strings of the keys that a document shares; within a task's batch each different one has its bytes once."""
+    """Strings of the keys that a document shares; within some neighbouring rows each different one has its bytes once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         names = ["id", "mark", "key", "digest", "start", "gram", "bytes"]
+        seen: set[bytes] = set()
         for batch in batches:
             rows: list[tuple] = []
-            held, seen = 0, set()
+            held = 0
 
             def emit() -> pa.RecordBatch:
                 at = pa.array([r[0] for r in rows], pa.int64())
@@ -143,9 +154,11 @@ def _cut_strings(length: int):
             for k in range(len(batch)):
                 text = unpack(batch.column(2)[k].as_py())
                 shared = batch.column(3).slice(k, 1).flatten()
-                runs = shared.field("run").to_numpy(zero_copy_only=False)
+                keys, others = shared.field("key").to_numpy(zero_copy_only=False), shared.field("others")
+                keys = np.concatenate([keys, np.repeat(keys, others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                runs = np.concatenate([shared.field("run").to_numpy(zero_copy_only=False), others.flatten().to_numpy(zero_copy_only=False)])
                 first, span, gram = runs // _FIRST, runs % _FIRST // _SPAN, runs % _SPAN
-                for key, a, n, offset in zip(shared.field("key").to_pylist(), first.tolist(), span.tolist(), gram.tolist(), strict=True):
+                for key, a, n, offset in zip(keys.tolist(), first.tolist(), span.tolist(), gram.tolist(), strict=True):
                     b = a + n - 1 + length
                     string = text[a:b]
                     digest = hashlib.blake2b(string, digest_size=16, salt=offset.to_bytes(4, "little")).digest()
@@ -155,7 +168,9 @@ def _cut_strings(length: int):
                     held += 64 + (b - a if new else 0)
                     if held > _EMIT_BYTES:
                         yield emit()
-                        held, seen = 0, set()
+                        held = 0
+                if len(seen) > _SEEN:
+                    seen.clear()
             if rows:
                 yield emit()
 
@@ -283,11 +298,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     source = source.select("id", F.xxhash64("text").alias("mark"), "text")
-    anchors = source.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), f"id {kind}, mark bigint, key bigint, run bigint")
+    anchors = source.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), f"id {kind}, mark bigint, key bigint, run bigint, others array<bigint>")
     anchors = stage.table(anchors, "anchors")
-    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = anchors.groupBy("key").agg(F.sum(F.when(F.col("others").isNull(), 1).otherwise(1 + F.size("others"))).alias("n")).where("n > 1").select("key")
     # Equal rows, of id and text, have equal runs; each has its places once.
-    hits = anchors.join(shared, "key", "left_semi").groupBy("id", "mark").agg(F.collect_set(F.struct("key", "run")).alias("keys"))
+    hits = anchors.join(shared, "key", "left_semi").groupBy("id", "mark").agg(F.collect_set(F.struct("key", "run", "others")).alias("keys"))
     packed = source.mapInArrow(_packed, f"id {kind}, mark bigint, packed binary")
 
     def with_document(other: DataFrame, how: str) -> DataFrame:
