@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.shared import bounded_batches
 from heddle.llm.tables import NEVER, PairTable
 
 #: Fixed values of the byte-level pre-tokeniser: its pattern, with Unicode white space spelt out.
@@ -40,7 +41,7 @@ _PRETOKEN = regex.compile(
 _AWKWARD = re.compile(r"\s ")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 
-_CACHE_ENTRIES = 500_000
+_CACHE_ENTRIES = 250_000
 _TOGETHER_BYTES = 40
 _CACHED_CHARS = 48
 _SLICE_BYTES = 4 << 20
@@ -363,6 +364,7 @@ def _texts(column: pa.Array) -> list[str]:
 
 def _broadcast(df: DataFrame, tokenizer: str):
     """The vocabulary file's text (a fixed size of a few MB), read once by the driver."""
+    bounded_batches(df.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -382,6 +384,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in _slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(bpe.encode_batch(_texts(part.column(1))))], [id_col, "ids"])
+        bpe.after_space.clear()  # workers are used again
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
@@ -423,6 +426,7 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                     ],
                     [id_col, "n_tokens", "ids_le", "decoded"],
                 )
+        bpe.after_space.clear()  # workers are used again
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens bigint, ids_le binary, decoded string")

@@ -29,6 +29,20 @@ def word_lists(text: bytes) -> Iterator[list[bytes]]:
     yield (text[at:] if at else text).lower().split()
 
 
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send texts to Python in Arrow batches of a few megabytes, however long they are.
+
+    A session setting; a lower limit that is already set stays.
+    """
+    now = spark.conf.get(_BATCH_KEY).removesuffix("b")
+    if not now.isdigit() or int(now) > _BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(_BATCH_BYTES))
+
+
 class Stage:
     """Tables that cut lineage, written as Parquet in the shared folder and read again.
 
@@ -37,6 +51,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/heddle-{label}-{uuid.uuid4().hex}"
         self.made = 0

@@ -152,6 +152,11 @@ def test_spanning_forest_connects_what_is_close():
     fp = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in rng.integers(0, 1 << 62, 4, dtype=np.uint64)]))
     links = simhash._spanning_forest(fp, 6)
     assert all(0 < (a ^ b).bit_count() <= 6 for a, b in links)
+    a, b = np.triu_indices(len(fp), 1)
+    near = np.bitwise_count(fp[a] ^ fp[b]) <= 6
+    a, b = a[near], b[near]
+    keep = simhash._spanning_links(a, b, simhash._weights(fp[a], fp[b]))
+    assert {frozenset(x) for x in links} == {frozenset((int(fp[x]), int(fp[y]))) for x, y in zip(a[keep], b[keep], strict=True)}
     assert len(fp) - len(links) == len(set(brute_components([int(x) for x in fp], [int(x) for x in fp], 6).values()))
 
 
