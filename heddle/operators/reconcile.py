@@ -101,7 +101,7 @@ def maximal_versions(writes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fold_writes(writes: DataFrame, by: list[str]) -> DataFrame:
-    """``(by..., seq, accepted, surviving)``: what became of each write, in order of ``seq`` within its group."""
+    """``(by..., seq, tombstone, accepted, surviving)``: what became of each write, in order of ``seq`` within its group."""
     kinds = ", ".join(f"`{c}` {writes.schema[c].dataType.simpleString()}" for c in by)
     width = len(by)
 
@@ -114,29 +114,29 @@ def fold_writes(writes: DataFrame, by: list[str]) -> DataFrame:
         for batch in batches:
             if like is None:
                 like = batch.schema
-                types = [*(f.type for f in list(like)[: width + 1]), pa.bool_(), pa.bool_()]
-                names = [*like.names[: width + 1], "accepted", "surviving"]
+                types = [*(f.type for f in list(like)[: width + 2]), pa.bool_(), pa.bool_()]
+                names = [*like.names[: width + 2], "accepted", "surviving"]
             out = []
             keys = zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True)
             columns = (batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), _entries(batch.column(width + 2)))
             for key, seq, tombstone, version in zip(keys, *columns, strict=True):
                 if key != current:
-                    out += [(*current, s[2], True, True) for s in siblings] if current is not None else []
+                    out += [(*current, s[2], s[1], True, True) for s in siblings] if current is not None else []
                     current, siblings = key, []
                 after = append_version(siblings, (version, tombstone, seq))
                 if after is None:
-                    out.append((*key, seq, False, False))
+                    out.append((*key, seq, tombstone, False, False))
                 else:
-                    gone = {s[2] for s in siblings} - {s[2] for s in after}
-                    out += [(*key, s, True, False) for s in sorted(gone)]
+                    stay = {s[2] for s in after}
+                    out += [(*key, s[2], s[1], True, False) for s in siblings if s[2] not in stay]
                     siblings = after
             if out:
                 yield rows(out)
         if current is not None and siblings:
-            yield rows([(*current, s[2], True, True) for s in siblings])
+            yield rows([(*current, s[2], s[1], True, True) for s in siblings])
 
     ordered = writes.select(*by, "seq", "tombstone", "version").repartition(*by).sortWithinPartitions(*by, "seq")
-    return ordered.mapInArrow(fold, f"{kinds}, seq bigint, accepted boolean, surviving boolean")
+    return ordered.mapInArrow(fold, f"{kinds}, seq bigint, tombstone boolean, accepted boolean, surviving boolean")
 
 
 def siblings_by_anti_join(writes: DataFrame, by: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from heddle.operators import crdt, index, membership, replicas
 from heddle.operators.log import log_from_events
 from heddle.operators.reconcile import fold_writes, maximal_versions
 from heddle.sources import runs
+from heddle.sources.store import CausalStore
 from heddle.streaming.ingest import reconcile_stream, run_to_end
 from heddle.workspace import shared_dir
 
@@ -141,9 +142,7 @@ SELECT key, x.seq AS seq, x.t AS tombstone FROM (
   SELECT key, unnest(state) AS x FROM f WHERE (key, n) IN (SELECT (key, max(n)) FROM f GROUP BY key))""")
 def causal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Siblings that remain after all writes and deletes, in order of arrival."""
-    log = _log(spark, sf_dir)
-    alive = fold_writes(log, ["key"]).where("surviving").select("key", "seq")
-    return alive.join(log.select("seq", "tombstone"), "seq").select("key", "seq", "tombstone")
+    return fold_writes(_log(spark, sf_dir), ["key"]).where("surviving").select("key", "seq", "tombstone")
 
 
 def _late_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +158,7 @@ def obsolete_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_LATE_FOLD} SELECT key, seq, CASE WHEN accepted THEN 'ok' ELSE 'obsolete' END AS status FROM f WHERE tombstone")
 def delete_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each delete."""
-    log = _late_log(spark, sf_dir)
-    deletes = fold_writes(log, ["key"]).join(log.where("tombstone").select("seq"), "seq", "left_semi")
+    deletes = fold_writes(_late_log(spark, sf_dir), ["key"]).where("tombstone")
     return deletes.select("key", "seq", F.when(F.col("accepted"), "ok").otherwise("obsolete").alias("status"))
 
 
@@ -536,7 +534,7 @@ def failure_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streaming ---------------------------------------------------------------------
 
 
-@query()
+@query(f"{_FOLD} SELECT key, seq, accepted FROM f")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The write log of ``events`` as a stream of files; the outcome of every write."""
     root = f"{shared_dir(spark)}/heddle-stream-{uuid.uuid4().hex}"
@@ -545,3 +543,35 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema("seq bigint, key string, tombstone boolean, version map<bigint,bigint>").parquet(f"{root}/in")
     run_to_end(reconcile_stream(stream), f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").select("key", "seq", "accepted")
+
+
+# -- the store ---------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> CausalStore:
+    """A store that holds the writes of ``events``, which arrive late; clients send what they had read."""
+    store = CausalStore(spark, f"{shared_dir(spark)}/heddle-store-{uuid.uuid4().hex}")
+    own = F.col("node").cast("bigint")
+    read = F.map_filter(F.transform_values("version", lambda k, n: F.when(k == own, n - 1).otherwise(n)), lambda k, n: n > 0)
+    writes = _late_log(spark, sf_dir).withColumn("version", read)
+    store.put(writes.where("NOT tombstone").drop("tombstone"), own)
+    store.delete(writes.where("tombstone").drop("tombstone", "data"), own)
+    return store
+
+
+@query(f"{_LATE_FOLD} SELECT key, seq, CASE WHEN accepted THEN 'ok' ELSE 'obsolete' END AS status FROM f")
+def store_put_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of every write to the store."""
+    return _stored(spark, sf_dir).outcomes().select("key", "seq", "status")
+
+
+@query(f"""{_LATE_FOLD},
+e AS (SELECT key, unnest(state) AS x FROM f WHERE (key, n) IN (SELECT (key, max(n)) FROM f GROUP BY key)),
+c AS (SELECT key, max(x.a) AS v0, max(x.b) AS v1, max(x.c) AS v2, count(*) FILTER (NOT x.t) AS live FROM e GROUP BY key)
+SELECT e.key, x.seq AS seq, v0, v1, v2 FROM e JOIN c ON e.key = c.key WHERE NOT x.t
+UNION ALL SELECT key, CAST(NULL AS BIGINT) AS seq, v0, v1, v2 FROM c WHERE live = 0""")
+def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live siblings of every key with the context to write back with; deleted keys have their context alone."""
+    read = _stored(spark, sf_dir).get()
+    counters = [F.coalesce(F.element_at("context", F.lit(i).cast("bigint")), F.lit(0)).alias(f"v{i}") for i in range(3)]
+    return read.select("key", "seq", *counters)

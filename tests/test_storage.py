@@ -37,7 +37,7 @@ def test_manifest_and_plan(spark):
 def test_store(spark, tmp_path):
     store = CausalStore(spark, str(tmp_path / "log"))
     first = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "", "bad")], "seq bigint, key string, data string")
-    assert [r.status for r in store.put(first, F.lit(1)).collect()] == ["invalid"]
+    assert sorted((r.seq, r.status) for r in store.put(first, F.lit(1)).collect()) == [(1, "ok"), (2, "ok"), (3, "invalid")]
     other = spark.createDataFrame([(4, "a", "concurrent")], first.schema)
     store.put(other, F.lit(2))
     read = store.get(spark.createDataFrame([("a",), ("missing",)], "key string"))
@@ -45,8 +45,15 @@ def test_store(spark, tmp_path):
     context = read.first().context
     assert context == {1: 1, 2: 1}
     gone = spark.createDataFrame([(5, "a", context)], "seq bigint, key string, version map<bigint,bigint>")
-    store.delete(gone, F.lit(1))
-    assert store.get(spark.createDataFrame([("a",)], "key string")).count() == 0
+    assert [r.status for r in store.delete(gone, F.lit(1)).collect()] == ["ok"]
+    read = store.get(spark.createDataFrame([("a",)], "key string")).collect()
+    assert [(r.key, r.seq, r.data, r.context) for r in read] == [("a", None, None, {1: 2, 2: 1})]
+    # Without the context a deleted key cannot be written again, and the store says so; with it, it can.
+    assert [r.status for r in store.put(spark.createDataFrame([(6, "a", "lost")], first.schema), F.lit(1)).collect()] == ["obsolete"]
+    again = spark.createDataFrame([(7, "a", "back", read[0].context)], "seq bigint, key string, data string, version map<bigint,bigint>")
+    assert [r.status for r in store.put(again, F.lit(1)).collect()] == ["ok"]
+    assert [(r.data, r.context) for r in store.get(spark.createDataFrame([("a",)], "key string")).collect()] == [("back", {1: 3, 2: 1})]
+    store.delete(spark.createDataFrame([(8, "a", {1: 3, 2: 1})], gone.schema), F.lit(2))
     assert [r.key for r in store.scan("a", "z").collect()] == ["b"]
 
 
