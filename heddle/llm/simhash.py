@@ -44,8 +44,6 @@ _WIDE_SEGMENTS = tuple((at, 21) for at in (0, 21, 42))  # of either of two numbe
 _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)))
 _SLICE_BYTES = 2 << 20
 _SMALL_GROUP = 32
-_FORESTS = 6
-_HELD = 300_000  # links that a task holds
 _PIECE = 8192  # hashes whose bits are counted together
 
 
@@ -288,38 +286,6 @@ def _linker(bits: int, forest=_forest):
     return run
 
 
-def _thinned(find):
-    """Of the links of ``find``, a task's minimum spanning forest, that of the rest, and so on, ``_FORESTS`` in all.
-
-    A link that closes a cycle of lighter ones adds little, but some of those may turn out not to hold.
-    """
-
-    def forest(parts: list[np.ndarray]) -> np.ndarray:
-        rest, kept = np.unique(np.concatenate(parts, axis=1), axis=1), []
-        for _ in range(_FORESTS):
-            keep = _spanning_links(*rest, _weights(*rest))
-            kept.append(rest[:, keep])
-            rest = rest[:, ~keep]
-        return np.concatenate(kept, axis=1)
-
-    def rows(links: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in links.view(np.int64)], ["u", "v"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in find(batches):
-            links = np.stack([batch.column(k).to_numpy() for k in (0, 1)]).view(np.uint64)
-            held.append(links[:, links[0] != links[1]])
-            if sum(x.shape[1] for x in held) > _HELD:
-                held = [forest(held)]
-                if held[0].shape[1] > _HELD // 2:
-                    yield rows(held.pop())
-        if held:
-            yield rows(forest(held))
-
-    return run
-
-
 def link_fingerprints(distinct: DataFrame, bits: int = 4) -> DataFrame:
     """``(u, v)``: links that connect exactly the fingerprints (column ``fp``, distinct) within ``bits``.
 
@@ -403,31 +369,40 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, width: int, simila
     kind = texts.schema["id"].dataType.simpleString()
     marked = texts.mapInArrow(_wide_fingerprints(width), f"id {kind}, mark bigint, digest binary, fp bigint, a bigint, b bigint")
     marked = stage.table(marked, "marked")
-    # Rows with equal sets are one node; nodes with equal fingerprints are looked for as one, through their smallest node.
+    # Rows with equal sets are one node; of nodes with equal fingerprints one, the hub, looks for others.
     nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("fp", "a", "b")])
-    nodes = stage.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    hubs = nodes.groupBy("fp").agg(F.min("node").alias("hub"))
+    nodes = stage.table(nodes, "nodes")
     keyed = nodes.select("fp", "a", "b").distinct().mapInArrow(_wide_keyed, "key int, fp bigint")
-    # Keys with the first of their two code words in common meet in a task, which thins the links of all of them.
-    dealt = keyed.repartition(F.shiftright("key", 12)).sortWithinPartitions("key")
-    close = dealt.mapInArrow(_thinned(_linker(bits, _spanning_forest)), "u bigint, v bigint").distinct()
-    of = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}"))
-    across = close.join(of("u"), "u").join(of("v"), "v").select(F.least("hub_u", "hub_v").alias("u"), F.greatest("hub_u", "hub_v").alias("v"))
-    within = nodes.join(hubs, "fp").where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    candidates = stage.table(across.unionAll(within).distinct(), "candidates")
-
-    some = candidates.select(F.col("u").alias("node")).unionAll(candidates.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(some, "node").select("node", F.col("first.id").alias("n_id"), F.col("first.mark").alias("n_mark"))
-    read = texts.join(wanted, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark"))).select("node", "text")
-    sets = stage.table(read.mapInArrow(_shingle_sets(width), "node bigint, shingles array<bigint>"), "shingles")
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    close = stage.table(dealt.mapInArrow(_linker(bits, _spanning_forest), "u bigint, v bigint").where("u != v").distinct(), "close")
+    hubs = nodes.groupBy("fp").agg(F.min(F.struct("digest", "first")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    hubs = stage.table(hubs.select("fp", F.col("hub.digest").alias("hub_digest"), F.col("hub.first").alias("first"), "n"), "hubs")
+    others = nodes.join(hubs.where("n > 1").select(F.col("fp").alias("h_fp"), "hub_digest"), F.col("fp") == F.col("h_fp")).where("digest != hub_digest")
+
+    def shingles_of(wanted: DataFrame, key: str) -> DataFrame:
+        """``(node, shingles)`` for the rows of ``wanted (key, first)``."""
+        wanted = wanted.select(F.col(key).alias("node"), F.col("first.id").alias("n_id"), F.col("first.mark").alias("n_mark"))
+        read = texts.join(wanted, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark"))).select("node", "text").dropDuplicates(["node"])
+        return stage.table(read.mapInArrow(_shingle_sets(width), f"node {wanted.schema['node'].dataType.simpleString()}, shingles array<bigint>"), "shingles")
+
+    def alike(left: Column, right: Column) -> Column:
+        both = F.size(F.array_intersect(left, right))
+        return both >= similarity * (F.size(left) + F.size(right) - both) - 1e-9
+
+    asked = close.select(F.col("u").alias("a_fp")).unionAll(close.select(F.col("v").alias("a_fp"))).unionAll(others.select(F.col("fp").alias("a_fp"))).distinct()
+    sets = shingles_of(hubs.join(asked, F.col("fp") == F.col("a_fp"), "left_semi"), "fp")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    linked = candidates.join(side("u"), "u").join(side("v"), "v").where(both >= similarity * (F.size("of_u") + F.size("of_v") - both) - 1e-9)
+    linked = close.join(side("u"), "u").join(side("v"), "v").where(alike(F.col("of_u"), F.col("of_v")))
     components = connected_components(linked.select("u", "v"), stage)
-    rooted = nodes.join(components.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-    rooted = rooted.select("digest", "first", F.coalesce("component", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    of_digest = rooted.select("digest", "root").join(least, "root").select("digest", "first")
+    # A node that is no hub belongs to its hub's group if it is similar to the hub, else it is alone.
+    own = shingles_of(others, "digest").select(F.col("node").alias("digest"), F.col("shingles").alias("of_own"))
+    joined = others.select("digest", "fp").join(own, "digest").join(side("fp"), "fp").where(alike(F.col("of_own"), F.col("of_fp")))
+    member = hubs.select(F.col("hub_digest").alias("m_digest")).unionAll(joined.select(F.col("digest").alias("m_digest")))
+    rooted = nodes.join(components, F.col("fp") == F.col("node"), "left").join(member, F.col("digest") == F.col("m_digest"), "left")
+    root = F.when(F.col("m_digest").isNotNull(), F.concat(F.lit("fp "), F.coalesce("component", "fp"))).otherwise(F.hex("digest"))
+    rooted = rooted.select("digest", "first", root.alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    of_digest = rooted.join(least, "root").select("digest", F.col("least").alias("first"))
     return marked.select("id", "mark", "digest").join(of_digest, "digest").select("id", "mark", "first")
 
 
