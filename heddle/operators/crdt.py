@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,17 +65,37 @@ def set_intersection(present: DataFrame, groups: DataFrame) -> DataFrame:
     return counted.join(sizes, "group").where(F.col("_in") == F.col("_keys")).select("group", "item")
 
 
-def mutate(
-    siblings: DataFrame, merge: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Read, merge, apply: merge the siblings of each key by a type's rule, then change what results.
-
-    ``change`` gives rows with ``modified``; only those are written.
-    """
-    return change(merge(siblings)).where("modified").drop("modified")
-
-
 def merge_counters(parts: DataFrame) -> DataFrame:
     """Grow-only counters ``(key, node, n)``: the largest part of each node, summed."""
     top = parts.groupBy("key", "node").agg(F.max("n").alias("n"))
     return top.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class DataType:
+    """How the siblings of a key become one value: ``merge`` gives one row for each key, ``zero`` the columns of a key without siblings."""
+
+    merge: Callable[[DataFrame], DataFrame]
+    zero: dict[str, Column]
+
+    def read(self, siblings: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        """One row for each key; with ``keys``, for each of them, absent ones at zero."""
+        merged = self.merge(siblings)
+        if keys is None:
+            return merged
+        found = merged.withColumn("_found", F.lit(True))
+        columns = [F.when(F.col("_found"), F.col(c)).otherwise(self.zero[c]).alias(c) for c in merged.columns if c != "key"]
+        return keys.select("key").distinct().join(found, "key", "left").select("key", *columns)
+
+    def mutate(self, siblings: DataFrame, change: Callable[[DataFrame], DataFrame], keys: DataFrame | None = None) -> DataFrame:
+        """Read, merge, apply: ``change`` gives rows with ``modified``; only those are written."""
+        return change(self.read(siblings, keys)).where("modified").drop("modified")
+
+
+def counter_type() -> DataType:
+    return DataType(merge_counters, {"n": F.lit(0).cast("bigint")})
+
+
+def register_type() -> DataType:
+    """Last write wins; a register that was never written holds an empty value at time zero."""
+    return DataType(merge_registers, {"ts": F.timestamp_seconds(F.lit(0)), "value": F.lit(""), "conflict": F.lit(False)})

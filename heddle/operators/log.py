@@ -36,10 +36,24 @@ def running_counts(df: DataFrame, key: str, order: str, flags: dict[str, Column]
     )
     inside = W.partitionBy(key, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     counted = marked.withColumns({f"_in_{n}": F.sum(f"_{n}").over(inside) for n in flags})
-    joined = counted.join(bases, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_base_block")))
+    joined = counted.join(bases, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_base_block")))
     return joined.select(*df.columns, *[(F.col(f"_base_{n}") + F.col(f"_in_{n}")).alias(n) for n in flags])
 
 
+def previous(df: DataFrame, key: str, order: str, column: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """``df`` with ``name``: ``column`` of the key's row before, in order of ``order`` (bigint); null for the first.
+
+    Rows are sorted within blocks of ``block`` order values; the last value of a block is carried
+    to the key's next block, so a key with very many rows is many small groups.
+    """
+    marked = df.withColumn("_block", F.floor(F.col(order) / block))
+    ends = marked.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_at")).agg(F.max_by(F.struct(column), order).alias("_end"))
+    carried = ends.select("_key", "_at", F.lag("_end").over(W.partitionBy("_key").orderBy("_at")).alias("_carried"))
+    inside = marked.withColumn("_before", F.lag(F.struct(column)).over(W.partitionBy(key, "_block").orderBy(order)))
+    joined = inside.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at")))
+    return joined.select(*df.columns, F.coalesce("_before", "_carried").getField(column).alias(name))
+
+
 def log_from_events(events: DataFrame, nodes: int = 3) -> DataFrame:
     """A write log ``(seq, key, node, data, tombstone, version)`` from an event table.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heddle.operators.log import previous, running_counts
 from heddle.schema import HEALTHY, LEFT
 
 
@@ -34,12 +35,12 @@ def reachable(nodes: DataFrame) -> DataFrame:
 def generations(signals: DataFrame) -> DataFrame:
     """``(node, seq, status, gen)``: the generation rises by one whenever a node's status changes (from healthy at first).
 
-    Changes are found by ``lag``; only they are accumulated, in one group for each node.
+    Both the status before and the count of changes are found within blocks of ``seq``, so a
+    node with very many signals is many small groups.
     """
-    by_node = W.partitionBy("node").orderBy("seq")
-    before = F.lag("status", 1, HEALTHY).over(by_node)
-    changed = signals.withColumn("changed", (F.col("status") != before).cast("bigint"))
-    return changed.withColumn("gen", F.sum("changed").over(by_node.rowsBetween(W.unboundedPreceding, 0))).drop("changed")
+    before = previous(signals, "node", "seq", "status", "before")
+    changed = F.col("status") != F.coalesce("before", F.lit(HEALTHY))
+    return running_counts(before, "node", "seq", {"gen": changed}).drop("before")
 
 
 def indirect_verdicts(votes: DataFrame) -> DataFrame:

@@ -11,13 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import vclock
 
 _FLUSH = 200_000
+#: Reduced batches that are held before they are reduced together; rows of a batch sent on; counters of a matrix (64 MB).
+_MERGE, _ROWS, _CELLS = 16, 10_000, 1 << 23
 
 
 def _entries(column: pa.Array) -> list[dict[int, int]]:
@@ -47,57 +51,88 @@ def append_version(siblings: list[tuple], new: tuple) -> list[tuple] | None:
     return [*kept, new]
 
 
-def _maximal(known: list[tuple], new: tuple) -> list[tuple]:
-    """Maximal versions with one more; of equal versions the earliest sequence stays."""
-    version, seq = new
-    if any(covers(v, version) and (not covers(version, v) or s <= seq) for v, s in known):
-        return known
-    return [*(x for x in known if not covers(version, x[0])), new]
+def _codes(rows: pa.Table, by: list[str]) -> np.ndarray:
+    """One number for each row, equal where all columns of ``by`` are equal (null equals null)."""
+    codes = np.zeros(rows.num_rows, np.int64)
+    for name in by:
+        found = pc.dictionary_encode(rows[name].combine_chunks(), null_encoding="encode")
+        part = found.indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(codes * (len(found.dictionary) + 1) + part, return_inverse=True)[1]
+    return codes
 
 
-def maximal_versions(writes: DataFrame, by: list[str]) -> DataFrame:
-    """``(by..., seq, version)`` of the writes of each group that no other write dominates (tombstones count as writes)."""
-    kinds = ", ".join(f"`{c}` {writes.schema[c].dataType.simpleString()}" for c in by)
-    schema = f"{kinds}, seq bigint, version map<bigint,bigint>"
+def _counters(versions: pa.MapArray) -> np.ndarray:
+    """Versions as a matrix, a column for each node that occurs; null counts as empty."""
+    offsets = versions.offsets.to_numpy()
+    first, last = offsets[0], offsets[-1]
+    nodes, column = np.unique(versions.keys.to_numpy(zero_copy_only=False)[first:last], return_inverse=True)
+    matrix = np.zeros((len(versions), len(nodes)), np.int64)
+    matrix[np.repeat(np.arange(len(versions)), np.diff(offsets)), column] = pc.fill_null(versions.items, 0).to_numpy(zero_copy_only=False)[first:last]
+    return matrix
+
 
-    def rows(state: dict[tuple, list[tuple]], like: pa.Schema) -> pa.RecordBatch:
-        flat = [(*key, seq, list(version.items())) for key, found in state.items() for version, seq in found]
-        state.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], f.type) for k, f in enumerate(like)], schema=like)
+def _reduced(rows: pa.Table, by: list[str]) -> pa.Table:
+    """Rows that no other row of their group dominates; of equal versions the one with the lowest ``seq``.
+
+    In each round the row with the largest sum of counters left in its group is maximal, and all that it
+    covers go, in all groups at once; there are as many rounds as the group with most siblings has.
+    """
+    if rows.num_rows == 0:
+        return rows
+    groups, seqs = _codes(rows, by), rows["seq"].to_numpy()
+    matrix = _counters(rows["version"].combine_chunks())
+    left = np.lexsort((seqs, -matrix.sum(axis=1), groups))
+    heads = []
+    while len(left):
+        group = groups[left]
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        top = left[start]
+        heads.append(top)
+        above = np.repeat(top, np.diff(np.r_[start, len(left)]))
+        left = left[(matrix[left] > matrix[above]).any(axis=1)]
+    return rows.take(np.sort(np.concatenate(heads)))
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    """A batch in pieces whose counters fit ``_CELLS``, even if every row had all nodes of the batch."""
+    nodes = len(pc.unique(batch.column("version").keys))
+    step = max(256, _CELLS // max(1, nodes))
+    for start in range(0, batch.num_rows, step):
+        yield pa.Table.from_batches([batch.slice(start, step)])
+
+
+def maximal_versions(writes: DataFrame, by: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """``(by..., seq, version, also...)`` of the writes of each group that no other write dominates (tombstones count as writes)."""
+    columns = [*by, "seq", "version", *also]
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[tuple, list[tuple]] = {}
-        like = None
+        held: list[pa.Table] = []
         for batch in batches:
-            like = batch.schema
-            keys = zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)
-            for key, seq, version in zip(keys, batch.column(len(by)).to_pylist(), _entries(batch.column(len(by) + 1)), strict=True):
-                state[key] = _maximal(state.get(key, []), (version, seq))
-            if len(state) > _FLUSH:
-                yield rows(state, like)
-        if state:
-            yield rows(state, like)
+            held += [_reduced(piece, by) for piece in _pieces(batch)]
+            if sum(t.num_rows for t in held) > _FLUSH:
+                yield from pa.concat_tables(held).to_batches(_ROWS)
+                held = []
+            elif len(held) > _MERGE:
+                held = [_reduced(piece, by) for b in pa.concat_tables(held).combine_chunks().to_batches() for piece in _pieces(b)]
+        for table in held:
+            yield from table.to_batches()
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group: all but the last group of a batch are complete."""
-        state: dict[tuple, list[tuple]] = {}
-        like = None
+        """Rows come sorted by group: all but the last group of a piece are complete."""
+        open_group: pa.Table | None = None
         for batch in batches:
-            like = batch.schema
-            done: dict[tuple, list[tuple]] = {}
-            keys = zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)
-            for key, seq, version in zip(keys, batch.column(len(by)).to_pylist(), _entries(batch.column(len(by) + 1)), strict=True):
-                if key not in state:
-                    done |= state
-                    state = {}
-                state[key] = _maximal(state.get(key, []), (version, seq))
-            if done:
-                yield rows(done, like)
-        if state:
-            yield rows(state, like)
-
-    reduced = writes.select(*by, "seq", "version").mapInArrow(partial, schema)
-    return reduced.repartition(*by).sortWithinPartitions(*by).mapInArrow(final, schema)
+            for piece in _pieces(batch):
+                found = _reduced(piece if open_group is None else pa.concat_tables([open_group, piece]), by)
+                codes = _codes(found, by)
+                open_rows = int(np.argmax(codes == codes[-1]))
+                yield from found.slice(0, open_rows).to_batches(_ROWS)
+                open_group = found.slice(open_rows)
+        if open_group is not None:
+            yield from open_group.to_batches(_ROWS)
+
+    rows = writes.select(*columns)
+    reduced = rows.mapInArrow(partial, rows.schema)
+    return reduced.repartition(*by).sortWithinPartitions(*by).mapInArrow(final, rows.schema)
 
 
 def fold_writes(writes: DataFrame, by: list[str]) -> DataFrame:

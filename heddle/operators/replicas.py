@@ -24,12 +24,13 @@ def merged_read(values: DataFrame) -> DataFrame:
     """``(key, seq, version, tombstone, merged)`` for values ``(key, replica, seq, version, tombstone)`` of the replicas that answered.
 
     Values that no other one dominates, one for each version, and the merge of all
-    versions read; tombstones are kept here and marked, readers drop them.
+    versions read, which is that of the undominated ones; tombstones are kept here and
+    marked, readers drop them. The values are read once; a key's siblings are merged in one row.
     """
-    top = maximal_versions(values, ["key"]).withColumnRenamed("version", "_version")
-    flags = values.groupBy("key", "seq").agg(F.max("tombstone").alias("tombstone"))
-    merged = vclock.merge_all(values, ["key"], "version", "merged")
-    return top.join(flags, ["key", "seq"]).join(merged, "key").select("key", "seq", F.col("_version").alias("version"), "tombstone", "merged")
+    top = maximal_versions(values, ["key"], ("tombstone",))
+    found = top.groupBy("key").agg(F.collect_list(F.struct("seq", "version", "tombstone")).alias("found"))
+    merged = F.aggregate(F.col("found.version"), vclock.empty(), vclock.merge)
+    return found.select("key", F.explode("found").alias("one"), merged.alias("merged")).select("key", "one.*", "merged")
 
 
 def compat_merge(values: Column) -> Column:

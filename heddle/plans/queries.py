@@ -6,21 +6,22 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions import scalars, vclock
 from heddle.operators import crdt, index, membership, replicas
-from heddle.operators.log import log_from_events
+from heddle.operators.log import log_from_events, previous
 from heddle.operators.reconcile import fold_writes, maximal_versions
 from heddle.sources import runs
 from heddle.sources.store import CausalStore
 from heddle.streaming.ingest import reconcile_stream, run_to_end
-from heddle.workspace import shared_dir
+from heddle.workspace import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Sequence numbers that a micro-batch of ``stream_ingest`` spans.
+_STREAM_BLOCK = 1 << 20
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -102,6 +103,12 @@ def vclock_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("seq", *counters, vclock.is_equal(F.col("version"), F.col("read")).alias("round_trip"))
 
 
+@query(f"WITH {_LOG} SELECT seq, {_sql_text()} AS version FROM l")
+def vclock_must_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts read with an error for any that is invalid, and written again."""
+    return _log(spark, sf_dir).select("seq", vclock.to_string(vclock.checked(_text())).alias("version"))
+
+
 @query(f"""
 WITH {_LOG},
 p AS (SELECT *, lag(v0) OVER w AS p0, lag(v1) OVER w AS p1, lag(v2) OVER w AS p2 FROM l WINDOW w AS (PARTITION BY key ORDER BY seq))
@@ -110,8 +117,7 @@ SELECT seq, key, CASE WHEN (p0 > v0 OR p1 > v1 OR p2 > v2) AND (p0 < v0 OR p1 <
 FROM p WHERE p0 IS NOT NULL""")
 def vclock_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each write's predecessor on its key against the write."""
-    before = F.lag("version").over(W.partitionBy("key").orderBy("seq"))
-    paired = _log(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL")
+    paired = previous(_log(spark, sf_dir), "key", "seq", "version", "before").where("before IS NOT NULL")
     return paired.select("seq", "key", vclock.compare(F.col("before"), F.col("version")).alias("causality"))
 
 
@@ -192,9 +198,10 @@ s AS (
   SELECT key, r FROM h WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.key = h.key AND t.v0 = h.v0 AND t.v1 = h.v1 AND t.v2 = h.v2))"""
 
 
-def _asked(log: DataFrame) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two of three replicas answer for each key; which ones, and in which order, follows from the key."""
-    asked = log.select("key").distinct().withColumn("replica", F.explode(F.array(*map(F.lit, range(3)))))
+    keys = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key")).distinct()
+    asked = keys.withColumn("replica", F.explode(F.array(*map(F.lit, range(3)))))
     asked = asked.withColumn("arrival", F.pmod(F.col("key").cast("bigint") + F.col("replica"), F.lit(3))).where("arrival < 2")
     return replicas.quorum_prefix(asked, scalars.needed_acks(F.lit("quorum"), F.lit(3)))
 
@@ -202,23 +209,23 @@ def _asked(log: DataFrame) -> DataFrame:
 def _replica_values(log: DataFrame, asked: DataFrame) -> DataFrame:
     """What the asked replicas hold: each lost some of the writes and keeps its own maximal set."""
     received = log.withColumn("replica", F.explode(F.array(*map(F.lit, range(3))))).where((F.col("seq") * 7 + F.col("replica") * 3) % 10 != 0)
-    held = maximal_versions(received, ["key", "replica"]).join(asked, ["key", "replica"], "left_semi")
-    return held.join(log.select("seq", "tombstone"), "seq").select("key", "replica", "seq", "version", "tombstone")
+    held = maximal_versions(received.join(asked, ["key", "replica"], "left_semi"), ["key", "replica"], ("tombstone",))
+    return held.select("key", "replica", "seq", "version", "tombstone")
 
 
 @query(f"WITH {_LOG}, {_REPLICAS} SELECT t.key, seq, {_sql_text()} AS version, {_sql_text('m0', 'm1', 'm2')} AS merged FROM t JOIN g ON t.key = g.key WHERE NOT tombstone")
 def quorum_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live values and merged version that a quorum read of each key returns."""
     log = _log(spark, sf_dir)
-    read = replicas.merged_read(_replica_values(log, _asked(log))).where("NOT tombstone")
+    read = replicas.merged_read(_replica_values(log, _asked(spark, sf_dir))).where("NOT tombstone")
     return read.select("key", "seq", _text().alias("version"), _text("merged").alias("merged"))
 
 
 @query(f"WITH {_LOG}, {_REPLICAS} SELECT key, r AS replica FROM s")
 def stale_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    asked = _asked(log)
-    values = _replica_values(log, asked)
+    asked = _asked(spark, sf_dir)
+    values = staged(_replica_values(log, asked), "values")
     return replicas.stale(values, asked, replicas.merged_read(values))
 
 
@@ -229,24 +236,30 @@ SELECT s.key, s.r AS replica, o.seq, {_sql_text('m0', 'm1', 'm2')} AS version, o
 def read_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes that bring stale replicas up to date where one value is current."""
     log = _log(spark, sf_dir)
-    asked = _asked(log)
-    values = _replica_values(log, asked)
-    read = replicas.merged_read(values)
+    asked = _asked(spark, sf_dir)
+    values = staged(_replica_values(log, asked), "values")
+    read = staged(replicas.merged_read(values), "read")
     return replicas.repairs(replicas.stale(values, asked, read), read).select("key", "replica", "seq", _text().alias("version"), "tombstone")
 
 
 @query("""
-SELECT level, total, alive, needed, alive >= needed AS possible FROM (
-  SELECT level, total, CAST((SELECT count(*) FROM nation WHERE n_nationkey < total AND n_regionkey <> 0) AS BIGINT) AS alive,
-         CASE level WHEN 'one' THEN 1 WHEN 'two' THEN 2 WHEN 'quorum' THEN total // 2 + 1 ELSE total END AS needed
-  FROM (SELECT CAST(n_nationkey + 1 AS BIGINT) AS total FROM nation), (VALUES ('one'), ('two'), ('quorum'), ('all')) AS x(level))""")
+SELECT key, level, level <> 'most' AS known, total, alive, needed, alive >= needed AS possible FROM (
+  SELECT key, level, total, alive, CASE level WHEN 'Two' THEN 2 WHEN 'quorum' THEN total // 2 + 1 WHEN 'all' THEN total ELSE 1 END AS needed
+  FROM (
+    SELECT CAST(user_id AS VARCHAR) AS key, CAST(count(DISTINCT event_id % 7) AS BIGINT) AS total,
+           CAST(count(DISTINCT CASE WHEN event_type <> 'error' THEN event_id % 7 END) AS BIGINT) AS alive
+    FROM events GROUP BY user_id),
+    (VALUES ('one'), ('Two'), ('quorum'), ('all'), ('most')) AS x(level))""")
 def consistency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For clusters of the first 1, 2, ... nations, nations of region 0 being down: what each level needs, and whether it can be met."""
-    nodes = _table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("bigint").alias("total"), (F.col("n_regionkey") != 0).cast("bigint").alias("up"))
-    sizes = nodes.select("total", F.sum("up").over(W.orderBy("total")).alias("alive"))
-    levels = sizes.withColumn("level", F.explode(F.array(*map(F.lit, ("one", "two", "quorum", "all")))))
+    """For each key, whose replicas are the nodes that saw it and are alive if they saw more than errors: what each level needs, and whether it can be met."""
+    node = F.pmod(F.col("event_id"), F.lit(7))
+    seen = _table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("key"), node.alias("node"))
+    nodes = seen.agg(F.bool_or(F.col("event_type") != "error").alias("up"))
+    sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.count_if("up").alias("alive"))
+    levels = sizes.withColumn("level", F.explode(F.array(*map(F.lit, ("one", "Two", "quorum", "all", "most")))))
     needed = scalars.needed_acks(F.col("level"), F.col("total"))
-    return levels.select("level", "total", "alive", needed.alias("needed"), (F.col("alive") >= needed).alias("possible"))
+    known = scalars.known_level(F.col("level")).alias("known")
+    return levels.select("key", "level", known, "total", "alive", needed.alias("needed"), (F.col("alive") >= needed).alias("possible"))
 
 
 @query(f"""
@@ -299,7 +312,29 @@ def typed_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("node"))
     now = orders.groupBy("key", "node").agg(F.count(F.lit(1)).alias("n"))
     copies = now.withColumn("replica", F.explode(F.array(*map(F.lit, range(3))))).withColumn("n", F.greatest(F.col("n") - F.col("replica"), F.lit(0)))
-    return crdt.mutate(copies, crdt.merge_counters, lambda merged: merged.withColumn("modified", F.col("n") % 2 == 1))
+    return crdt.counter_type().mutate(copies, lambda merged: merged.withColumn("modified", F.col("n") % 2 == 1))
+
+
+@query("""
+SELECT c_custkey AS key, coalesce(v, '') AS value, coalesce(ts, TIMESTAMP '1970-01-01') = TIMESTAMP '1970-01-01' AS zero
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS ts, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS v FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
+def register_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register of every customer; those who never ordered hold the zero register."""
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    read = crdt.register_type().read(_register_writes(spark, sf_dir), customers)
+    return read.select("key", "value", (F.col("ts") == F.timestamp_seconds(F.lit(0))).alias("zero"))
+
+
+@query("""
+SELECT o_orderkey AS key, o_custkey AS ts, o_orderpriority AS value,
+       printf('%02X%02X%02X%02X', o_custkey & 255, (o_custkey >> 8) & 255, (o_custkey >> 16) & 255, (o_custkey >> 24) & 255) || '00000000'
+         || printf('%02X', octet_length(encode(o_orderpriority))) || '000000' || hex(encode(o_orderpriority)) AS stored
+FROM orders""")
+def register_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers written as bytes and read back, the customer key being the time."""
+    data = scalars.register_bytes(F.col("o_custkey"), F.col("o_orderpriority"))
+    coded = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), data.alias("data"))
+    return coded.select("key", scalars.register_time(F.col("data")).alias("ts"), scalars.register_value(F.col("data")).alias("value"), F.hex("data").alias("stored"))
 
 
 def _set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,15 +409,27 @@ def kv_scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.scan(_customers(spark, sf_dir), "Customer#000000050", "Customer#000000149")
 
 
-@query("""
-SELECT probe, CASE WHEN floor >= 0 THEN floor END AS floor FROM (
-  SELECT l_orderkey AS probe, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 64 = 5 AND o_orderkey <= l_orderkey) AS floor
-  FROM (SELECT DISTINCT l_orderkey FROM lineitem))""")
+def _floor_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All order keys of lineitem, and those of finished orders."""
+    keys = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("probe")).distinct(), keys
+
+
+_FLOOR = """
+SELECT probe, o_orderkey AS floor FROM (SELECT DISTINCT l_orderkey AS probe FROM lineitem) p
+ASOF LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON p.probe >= o.o_orderkey"""
+
+
+@query(_FLOOR)
 def floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greatest of some sparse order keys at or below each order key of lineitem."""
-    keys = _table(spark, sf_dir, "orders").where("o_orderkey % 64 = 5").select(F.col("o_orderkey").alias("key"))
-    probes = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("probe")).distinct()
-    return index.floor_lookup(probes, keys, F.floor(F.col("k") / 1024))
+    """The greatest key of a finished order at or below each order key of lineitem."""
+    return index.floor_lookup(*_floor_sides(spark, sf_dir), F.floor(F.col("k") / 1024))
+
+
+@query(_FLOOR.replace(">=", ">"))
+def find_less(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, strictly below."""
+    return index.floor_lookup(*_floor_sides(spark, sf_dir), F.floor(F.col("k") / 1024), strict=True)
 
 
 @query("""
@@ -538,9 +585,13 @@ def failure_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The write log of ``events`` as a stream of files; the outcome of every write."""
     root = f"{shared_dir(spark)}/heddle-stream-{uuid.uuid4().hex}"
-    log = _log(spark, sf_dir)
-    log.select("seq", "key", "tombstone", "version").write.parquet(f"{root}/in")
-    stream = spark.readStream.schema("seq bigint, key string, tombstone boolean, version map<bigint,bigint>").parquet(f"{root}/in")
+    block = F.floor(F.col("seq") / _STREAM_BLOCK)
+    log = staged(_log(spark, sf_dir).select("seq", "key", "tombstone", "version").sortWithinPartitions("seq"), "stream-log")
+    first, last = log.agg(F.min(block), F.max(block)).first()
+    # Files arrive in order of seq, and a micro-batch takes one, so that no key has more writes in memory than a block.
+    for number in range(first or 0, (last or 0) + 1):
+        log.where(F.col("seq").between(number * _STREAM_BLOCK, (number + 1) * _STREAM_BLOCK - 1)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     run_to_end(reconcile_stream(stream), f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").select("key", "seq", "accepted")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from heddle.functions import vclock
 from heddle.operators.log import coordinated, validated
 from heddle.operators.reconcile import fold_writes
 from heddle.schema import WRITE
+from heddle.workspace import staged
 
 
 class CausalStore:
@@ -42,6 +46,28 @@ class CausalStore:
         """Append tombstones, which need the version that the client read; ``(seq, key, status)`` of each."""
         return self._append(writes.withColumn("tombstone", F.lit(True)).withColumn("data", F.lit(None).cast("string")), node)
 
+    def update(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], node: Column, attempts: int = 3) -> DataFrame:
+        """Read ``keys``, change them and write back; ``(key, attempt, status)`` of each key that was written.
+
+        ``change`` takes what ``get`` returns and gives ``(seq, key, data)``, one row for each key to
+        write, whose ``seq`` lies above all stored ones. Keys whose write another client had overtaken are read and
+        changed again, up to ``attempts`` times in all; then they stay ``obsolete``.
+        """
+        pending, results = keys.select("key").distinct(), []
+        for attempt in range(1, attempts + 1):
+            # What was read must not be read again after the writes are stored.
+            read = staged(self.get(pending), "read")
+            contexts = read.groupBy("key").agg(F.first("context").alias("version"))
+            writes = staged(change(read).join(contexts, "key", "left").select("seq", "key", "data", "version"), "update")
+            status = staged(self.put(writes, node).select("key", F.lit(attempt).alias("attempt"), "status"), "status")
+            again = status.where("status = 'obsolete'").select("key")
+            last = attempt == attempts or again.isEmpty()
+            results.append(status if last else status.where("status <> 'obsolete'"))
+            if last:
+                break
+            pending = again
+        return reduce(DataFrame.unionByName, results)
+
     def log(self) -> DataFrame:
         return self.spark.read.schema(WRITE).parquet(self.root)
 

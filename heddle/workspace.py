@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-heddle-", dir="/tmp"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that several later steps read it without computing it again."""
+    path = f"{shared_dir(df.sparkSession)}/heddle-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import scalars
 from heddle.operators import crdt, index, membership, replicas
-from heddle.operators.log import coordinated, running_counts, validated
+from heddle.operators.log import coordinated, previous, running_counts, validated
 
 VALUES = "key string, replica int, seq bigint, version map<bigint,bigint>, tombstone boolean"
 
@@ -116,3 +116,34 @@ def test_log_helpers(spark):
 def test_bloom_and_addresses(spark):
     bits, hashes, parts = spark.range(1).select(scalars.bloom_bits(F.lit(1000), 0.01), scalars.bloom_hashes(F.lit(1000), 0.01), scalars.addresses(F.lit(" a:1, ,b:2,"))).first()
     assert (bits, hashes, parts) == (9585, 6, ["a:1", "b:2"])
+
+
+def test_blocks_carry_the_row_before_and_running_counts(spark):
+    rows = [(n % 3, n, 1 + (n * n // 5) % 2) for n in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "node bigint, seq bigint, status int")
+    before = {(r.node, r.seq): r.was for r in previous(df, "node", "seq", "status", "was", block=5).collect()}
+    for node, seq, _ in rows:
+        earlier = [s for k, n, s in rows if k == node and n < seq]
+        assert before[node, seq] == (earlier[-1] if earlier else None)
+    gens = {(r.node, r.seq): r.gen for r in membership.generations(df).collect()}
+    for node, seq, _ in rows:
+        seen = [1, *(s for k, n, s in rows if k == node and n <= seq)]
+        assert gens[node, seq] == sum(a != b for a, b in zip(seen, seen[1:], strict=False))
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_floor_over_ranges_of_buckets(spark, strict):
+    keys, probes = [7, 8, 5000, 12000, 20000], [0, 7, 8, 9, 4999, 5000, 11999, 20000, 30000]
+    found = index.floor_lookup(
+        spark.createDataFrame([(p,) for p in probes], "probe bigint"), spark.createDataFrame([(k,) for k in keys], "key bigint"), F.floor("k"), strict
+    )
+    want = {p: max((k for k in keys if k < p or (k == p and not strict)), default=None) for p in probes}
+    assert {r.probe: r.floor for r in found.collect()} == want
+
+
+def test_types_read_absent_keys_as_zero(spark):
+    parts = spark.createDataFrame([("a", 1, 2), ("a", 1, 3), ("a", 2, 1)], "key string, node bigint, n bigint")
+    keys = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert {r.key: r.n for r in crdt.counter_type().read(parts, keys).collect()} == {"a": 4, "b": 0}
+    raised = crdt.counter_type().mutate(parts, lambda df: df.withColumn("modified", F.col("n") == 0).withColumn("n", F.col("n") + 1), keys)
+    assert [tuple(r) for r in raised.collect()] == [("b", 1)]

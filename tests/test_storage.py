@@ -67,3 +67,22 @@ def test_stream_equals_fold_over_batches(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 5
     assert {r.seq: r.accepted for r in out.collect()}[5] is False
+
+
+def test_update_reads_again_after_a_conflict(spark, tmp_path):
+    store = CausalStore(spark, str(tmp_path / "log"))
+    schema = "seq bigint, key string, data string"
+    store.put(spark.createDataFrame([(1, "a", "1"), (2, "b", "1")], schema), F.lit(1)).collect()
+    keys = spark.createDataFrame([("a",), ("b",)], "key string")
+    seen = []
+
+    def change(read):
+        seen.append({r.key: r.data for r in read.collect()})
+        if len(seen) == 1:  # Another client uses the same coordinator on "a" meanwhile.
+            store.put(spark.createDataFrame([(3, "a", "other", {1: 1})], f"{schema}, version map<bigint,bigint>"), F.lit(1)).collect()
+        return read.select((F.lit(10 * len(seen)) + F.ascii("key")).cast("bigint").alias("seq"), "key", F.concat("data", F.lit("+")).alias("data"))
+
+    got = sorted((r.key, r.attempt, r.status) for r in store.update(keys, change, F.lit(1)).collect())
+    assert got == [("a", 2, "ok"), ("b", 1, "ok")]
+    assert seen == [{"a": "1", "b": "1"}, {"a": "other"}]
+    assert {r.key: r.data for r in store.get(keys).collect()} == {"a": "other+", "b": "1+"}
