@@ -44,7 +44,7 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 _CACHE_ENTRIES = 250_000
 _TOGETHER_BYTES = 40
 _CACHED_CHARS = 48
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -342,6 +342,12 @@ def _loaded(tokenizer_json: str) -> SpeculativeBpe:
     return _WORKER[key]
 
 
+def _release(bpe: SpeculativeBpe) -> None:
+    """Workers are used again by later stages: free what only this task needed."""
+    bpe.after_space.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about _SLICE_BYTES of text, one row at least."""
     sizes = batch.column(column).cast(pa.large_string() if pa.types.is_string(batch.schema.field(column).type) else pa.large_binary())
@@ -384,7 +390,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in _slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(bpe.encode_batch(_texts(part.column(1))))], [id_col, "ids"])
-        bpe.after_space.clear()  # workers are used again
+        _release(bpe)
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
@@ -426,7 +432,7 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                     ],
                     [id_col, "n_tokens", "ids_le", "decoded"],
                 )
-        bpe.after_space.clear()  # workers are used again
+        _release(bpe)
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens bigint, ids_le binary, decoded string")
