@@ -22,10 +22,19 @@ it takes keys from six segments of a wider fingerprint, with the same pairs of f
 Candidates within a key are compared by 64 bits that the keys do not use, and reduced to
 a minimum spanning forest: if two documents are close, so is each link on the way
 between them. Links count once the exact similarity of both sets is high enough.
+
+Fingerprints alone miss links near the threshold, so an exact join between the groups
+found so far follows. Of two sets with a Jaccard similarity of t or more, the larger has
+n shingles and they share t n at the least; in any order of all shingles that both
+follow, their first n - ceil(t n) + 1 have one in common. The order is common shingles
+last, then by hash; which ones count as common changes the work, not the result. Pairs
+that meet under a shingle, of different groups and fitting sizes, are compared by parity
+bits (they differ in no more bits than the sets do in shingles), then shingle by shingle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
@@ -45,6 +54,9 @@ _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)))
 _SLICE_BYTES = 2 << 20
 _SMALL_GROUP = 32
 _PIECE = 8192  # hashes whose bits are counted together
+_COMMON, _MOST_COMMON = 16, 1 << 19  # a shingle is common above this count; the most that are held (4 MB)
+_PARITY_BITS = 1 << 16
+_PAIRS = 1 << 20  # pairs held before they are made distinct and sent on
 
 
 def _remainders(values: np.ndarray) -> np.ndarray:
@@ -320,8 +332,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _wide_fingerprints(width: int):
-    """From ``(id, mark, text)``: a digest of the set of shingles, the fingerprint that is compared and the two that have keys."""
+def _prefix_length(size: int, similarity: float) -> int:
+    """How many first shingles of a set include one that any set similar to it shares."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of hashes falls on each place; at least two places for each hash, a power of two, up to a bound."""
+    places = 64
+    while places < min(2 * len(hashes), _PARITY_BITS):
+        places *= 2
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _wide_fingerprints(width: int, similarity: float):
+    """From ``(id, mark, text)``: a digest of the set of shingles, the fingerprint that is compared and the two that have keys; size, parity bits and least hashes of the set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +364,12 @@ def _wide_fingerprints(width: int):
                     mixed = [x * factor for x in sets]
                     views.append([x ^ (x >> np.uint64(32)) for x in mixed])
                 found = [pa.array(majority(v).view(np.int64)) for v in views]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, len(texts)) for k in (0, 1)] + [pa.array(digests, pa.binary()), *found], ["id", "mark", "digest", "fp", "a", "b"])
+                found += [pa.array([len(x) for x in sets], pa.int32()), pa.array([_parity(x) for x in sets], pa.binary())]
+                found.append(_lists([x[: _prefix_length(len(x), similarity)] for x in sets]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k).slice(start, len(texts)) for k in (0, 1)] + [pa.array(digests, pa.binary()), *found],
+                    ["id", "mark", "digest", "fp", "a", "b", "size", "parity", "least"],
+                )
 
     return run
 
@@ -351,10 +387,119 @@ def _shingle_sets(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _slices(batch.column(1)):
-                sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts]
-                sizes = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), lists], ["node", "shingles"])
+                sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), _lists(sets)], ["node", "shingles"])
+
+    return run
+
+
+def _prefixes(width: int, similarity: float, common: np.ndarray):
+    """From ``(id, mark, text)``: the first shingles of each set, those in ``common`` (sorted) after all others."""
+
+    def first(hashes: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+        last = common[place] == hashes if len(common) else np.zeros(len(hashes), bool)
+        return np.concatenate([hashes[~last], hashes[last]])[: _prefix_length(len(hashes), similarity)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in _slices(batch.column(2)):
+                lists = _lists([first(np.unique(shingle_hashes(t, width))) for t in texts])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in (0, 1)), lists], ["id", "mark", "shingles"])
+
+    return run
+
+
+def _whole_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, cut anew so that no key is in two parts."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        keys = columns[0]
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1], "left"))
+        if last or (held and held[-1][0][-1] != keys[0]):
+            yield [np.concatenate(parts) for parts in zip(*held, [c[:last] for c in columns], strict=True)]
+            held = []
+        held.append([c[last:] for c in columns])
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
+
+
+def _pairs_of_small(key: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of nodes under one key, of different labels and fitting sizes, in keys of few rows."""
+    for apart in range(1, min(_SMALL_GROUP, len(key))):
+        at = np.nonzero(key[apart:] == key[:-apart])[0]
+        if not len(at):
+            break
+        to = at + apart
+        fits = (label[at] != label[to]) & (np.minimum(size[at], size[to]) >= similarity * np.maximum(size[at], size[to]) - 1e-9)
+        yield np.stack([node[at[fits]], node[to[fits]]])
+
+
+def _pairs_of_large(node: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """The same for the rows of one key; those of its largest label are met by others only, so that a large group costs time in proportion."""
+    by_size = np.argsort(size, kind="stable")
+    node, label, size = node[by_size], label[by_size], size[by_size]
+    names, counts = np.unique(label, return_counts=True)
+    largest = label == names[counts.argmax()]
+    low = np.searchsorted(size, similarity * size - 1e-9, "left")
+    high = np.searchsorted(similarity * size - 1e-9, size, "right")
+    place = np.arange(len(node))
+    for k in np.nonzero(~largest)[0]:
+        window = slice(low[k], high[k])
+        other = node[window][(label[window] != label[k]) & (largest[window] | (place[window] > k))]
+        if len(other):
+            yield np.stack([np.full(len(other), node[k]), other])
+
+
+def _pairs_under_keys(similarity: float):
+    """From ``(shingle, node, label, size)`` sorted by shingle: pairs of nodes that may be similar, repeats left out as far as they are at hand."""
+
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for key, node, label, size in _whole_keys(batches):
+            bounds = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+            sizes = np.diff(bounds)
+            for k in np.nonzero(sizes > _SMALL_GROUP)[0]:
+                own = slice(bounds[k], bounds[k + 1])
+                yield from _pairs_of_large(node[own], label[own], size[own], similarity)
+            small = np.repeat((sizes > 1) & (sizes <= _SMALL_GROUP), sizes)
+            yield from _pairs_of_small(key[small], node[small], label[small], size[small], similarity)
+
+    def sent(parts: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(np.concatenate(parts, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[k])) for k in (0, 1)], ["u", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for part in found(batches):
+            held.append(part)
+            rows += part.shape[1]
+            if rows > _PAIRS:
+                yield sent(held)
+                held, rows = [], 0
+        if rows:
+            yield sent(held)
+
+    return run
+
+
+def _parity_fits(similarity: float):
+    """From ``(u, v, size_u, size_v, parity_u, parity_v)``: pairs whose parity bits allow the similarity."""
+
+    def differing(x: bytes, y: bytes) -> int:
+        x, y = (np.frombuffer(p, np.uint64) for p in sorted((x, y), key=len))
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        return int(np.bitwise_count(x ^ y).sum())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.array([differing(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.float64)
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            fits = pa.array((1 + similarity) * apart <= (1 - similarity) * sizes + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(fits) for k in (0, 1)], ["u", "v"])
 
     return run
 
@@ -367,11 +512,11 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, width: int, simila
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.select("id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    marked = texts.mapInArrow(_wide_fingerprints(width), f"id {kind}, mark bigint, digest binary, fp bigint, a bigint, b bigint")
-    marked = stage.table(marked, "marked")
+    columns = f"id {kind}, mark bigint, digest binary, fp bigint, a bigint, b bigint, size int, parity binary, least array<bigint>"
+    marked = stage.table(texts.mapInArrow(_wide_fingerprints(width, similarity), columns), "marked")
     # Rows with equal sets are one node; of nodes with equal fingerprints one, the hub, looks for others.
-    nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("fp", "a", "b")])
-    nodes = stage.table(nodes, "nodes")
+    nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("fp", "a", "b", "size", "parity")])
+    nodes = stage.table(nodes.withColumn("number", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("fp", "a", "b").distinct().mapInArrow(_wide_keyed, "key int, fp bigint")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     close = stage.table(dealt.mapInArrow(_linker(bits, _spanning_forest), "u bigint, v bigint").where("u != v").distinct(), "close")
@@ -400,9 +545,32 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, width: int, simila
     member = hubs.select(F.col("hub_digest").alias("m_digest")).unionAll(joined.select(F.col("digest").alias("m_digest")))
     rooted = nodes.join(components, F.col("fp") == F.col("node"), "left").join(member, F.col("digest") == F.col("m_digest"), "left")
     root = F.when(F.col("m_digest").isNotNull(), F.concat(F.lit("fp "), F.coalesce("component", "fp"))).otherwise(F.hex("digest"))
-    rooted = rooted.select("digest", "first", root.alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    of_digest = rooted.join(least, "root").select("digest", F.col("least").alias("first"))
+    rooted = stage.table(rooted.select("digest", "number", "first", root.alias("root")), "rooted")
+    labels = rooted.groupBy("root").agg(F.min("number").alias("label"))
+    labelled = stage.table(rooted.join(labels, "root").select("digest", "number", "first", "label"), "labelled")
+
+    # Links that fingerprints missed, between the groups so far.
+    counts = marked.select(F.explode("least").alias("shingle")).groupBy("shingle").count().where(F.col("count") > _COMMON)
+    heaviest = counts.orderBy(F.desc("count"), "shingle").limit(_MOST_COMMON).select("shingle").toArrow()
+    common = np.sort(heaviest["shingle"].to_numpy().view(np.uint64))
+    first_ones = texts.mapInArrow(_prefixes(width, similarity, common), f"id {kind}, mark bigint, shingles array<bigint>")
+    owners = labelled.join(nodes.select("digest", "size"), "digest").select(F.col("first.id").alias("n_id"), F.col("first.mark").alias("n_mark"), "number", "label", "size")
+    placed = first_ones.join(owners, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark")))
+    placed = placed.select(F.explode("shingles").alias("shingle"), "number", "label", "size")
+    met = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_pairs_under_keys(similarity), "u bigint, v bigint")
+    met = stage.table(met.distinct(), "met")
+    compared = lambda c: nodes.select(F.col("number").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}"))
+    compared = met.join(compared("u"), "u").join(compared("v"), "v").select("u", "v", "size_u", "size_v", "parity_u", "parity_v")
+    near = stage.table(compared.mapInArrow(_parity_fits(similarity), "u bigint, v bigint"), "near")
+    asked = near.select(F.col("u").alias("asked")).unionAll(near.select(F.col("v").alias("asked"))).distinct()
+    sets = shingles_of(labelled.join(asked, F.col("number") == F.col("asked"), "left_semi"), "number")
+    linked = near.join(side("u"), "u").join(side("v"), "v").where(alike(F.col("of_u"), F.col("of_v")))
+    of = lambda c: labelled.select(F.col("number").alias(c), F.col("label").alias(f"label_{c}"))
+    linked = linked.select("u", "v").join(of("u"), "u").join(of("v"), "v").select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
+    joined_groups = connected_components(linked, stage)
+    grouped = labelled.join(joined_groups, F.col("label") == F.col("node"), "left").select("digest", "first", F.coalesce("component", "label").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("first").alias("least"))
+    of_digest = grouped.join(least, "group").select("digest", F.col("least").alias("first"))
     return marked.select("id", "mark", "digest").join(of_digest, "digest").select("id", "mark", "first")
 
 
@@ -411,9 +579,9 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents link if the Jaccard similarity of their sets of ``width``-word shingles, exactly
     counted, is at least ``similarity``; words are lower-cased (A-Z). A text of fewer words is one
-    shingle; null, empty and blank texts are equal. Candidates come from fuzzy keys of 126 bits
-    and may differ in ``bits`` of 64 more (99 of 100 links at 0.8 do not differ in more); at a similarity of 0.8 keys find 7 of 10 links, at 0.9
-    97 of 100, and all but a few thousandths above 0.95. Of rows that share id and text one stays; a null id is
+    shingle; null, empty and blank texts are equal. Candidates first come from fuzzy keys of 126 bits
+    and may differ in ``bits`` of 64 more; links between the groups that these make are then found by an exact
+    join, so that none is missed. Of rows that share id and text one stays; a null id is
     smaller than others. Other columns may have any name.
     """
     stage = Stage(df.sparkSession, "simhash")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from heddle.llm import simhash
@@ -147,6 +148,51 @@ def test_representatives_against_brute_force(documents):
     assert len(ids) <= len(least) + 0.1 * (len(rows) - len(least))  # keys miss few links of 0.8
 
 
+def test_no_link_at_the_threshold_is_missed(documents, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(words, k=60)
+    rows, n = [], 1
+    for g in range(70):
+        base = rng.choices(words, k=200)
+        if g % 2:
+            base[40:100] = passage  # shingles of many documents
+        for k in (0, 4, 4):  # 20 of some 216 shingles go, a similarity of 0.815
+            text = base[:]
+            for place in range(k):
+                text[20 + 40 * place + rng.randrange(8)] = f"x{n}-{place}"
+            rows.append((n, " ".join(text)))
+            n += 1
+    sets = [shingle_set(t) for _, t in rows]
+    first = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                first = [first[j] if f == first[i] else f for f in first]
+    want = {min(rows[i][0] for i, f in enumerate(first) if f == x) for x in set(first)}
+    assert 70 <= len(want) < 100
+    assert {r.doc_id for r in simhash.representatives(documents(rows)).collect()} == want
+    monkeypatch.setattr(simhash, "_COMMON", 1 << 20)  # whatever counts as common, groups are the same
+    assert {r.doc_id for r in simhash.representatives(documents(rows)).collect()} == want
+
+
+def test_pairs_under_keys_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(k), int(x)) for k, x in zip(rng.integers(0, 40, 3000) ** 2 // 300, rng.integers(0, 400, 3000), strict=True)})
+    key, node = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    label, size = node % 7 * (node % 3 > 0), (50 + node % 60).astype(np.int32)
+    want = {
+        (u, v) for (k, u) in rows for (m, v) in rows
+        if k == m and u < v and u % 7 * (u % 3 > 0) != v % 7 * (v % 3 > 0) and min(50 + u % 60, 50 + v % 60) >= 0.8 * max(50 + u % 60, 50 + v % 60)
+    }
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (key, node, label, size)], ["shingle", "node", "label", "size"])
+    for step in (1, 7, 100, 5000):
+        for most in (50, 1 << 20):
+            monkeypatch.setattr(simhash, "_PAIRS", most)
+            found = simhash._pairs_under_keys(0.8)(batch.slice(at, step) for at in range(0, len(key), step))
+            assert {(u, v) for b in found for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == want
+
+
 def test_spanning_forest_connects_what_is_close():
     rng = np.random.default_rng(3)
     fp = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in rng.integers(0, 1 << 62, 4, dtype=np.uint64)]))
