@@ -14,7 +14,7 @@ from heddle.operators.log import log_from_events, previous
 from heddle.operators.reconcile import fold_writes, maximal_versions
 from heddle.sources import runs
 from heddle.sources.store import CausalStore
-from heddle.streaming.ingest import reconcile_stream, run_to_end
+from heddle.streaming.ingest import reconcile_stream, run_to_end, write_in_order
 from heddle.workspace import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -585,15 +585,12 @@ def failure_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The write log of ``events`` as a stream of files; the outcome of every write."""
     root = f"{shared_dir(spark)}/heddle-stream-{uuid.uuid4().hex}"
-    block = F.floor(F.col("seq") / _STREAM_BLOCK)
-    log = staged(_log(spark, sf_dir).select("seq", "key", "tombstone", "version").sortWithinPartitions("seq"), "stream-log")
-    first, last = log.agg(F.min(block), F.max(block)).first()
+    log = _log(spark, sf_dir).select("seq", "key", "tombstone", "version")
     # Files arrive in order of seq, and a micro-batch takes one, so that no key has more writes in memory than a block.
-    for number in range(first or 0, (last or 0) + 1):
-        log.where(F.col("seq").between(number * _STREAM_BLOCK, (number + 1) * _STREAM_BLOCK - 1)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    write_in_order(log, F.floor(F.col("seq") / _STREAM_BLOCK), f"{root}/blocks", f"{root}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     run_to_end(reconcile_stream(stream), f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out").select("key", "seq", "accepted")
+    return spark.read.schema("key string, seq bigint, accepted boolean").parquet(f"{root}/out")
 
 
 # -- the store ---------------------------------------------------------------------

@@ -1,7 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
+from heddle.operators.reconcile import append_version
 from heddle.sources import runs
 from heddle.sources.store import CausalStore
+from heddle.streaming import ingest
 from heddle.streaming.ingest import reconcile_stream, run_to_end
 
 
@@ -69,6 +73,30 @@ def test_stream_equals_fold_over_batches(spark, tmp_path):
     assert {r.seq: r.accepted for r in out.collect()}[5] is False
 
 
+def test_stream_holds_state_by_bucket(spark, tmp_path):
+    schema = "seq bigint, key string, tombstone boolean, version map<bigint,bigint>"
+    rng = random.Random(3)
+    names = [None, "null", "", *(f"k{i}" for i in range(40))]
+    rows = [(n * 37 % 500, rng.choice(names), rng.random() < 0.2, {i: rng.randint(1, 4) for i in range(rng.randint(1, 3))}) for n in range(500)]
+    writes = spark.createDataFrame(rows, schema).repartition(3)
+    ingest.write_in_order(writes, F.floor(F.col("seq") / 60), str(tmp_path / "blocks"), str(tmp_path / "in"))
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert [sorted({r.seq // 60 for r in spark.read.parquet(str(f)).collect()}) for f in files] == [[b] for b in range(9)]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run_to_end(reconcile_stream(stream, 4), str(tmp_path / "out"), str(tmp_path / "ck"))
+    want, siblings = {}, {}
+    for seq, key, tombstone, version in sorted(rows, key=lambda r: r[0]):
+        after = append_version(siblings.get(key, []), (version, tombstone, seq))
+        want[seq] = (key, after is not None)
+        siblings[key] = siblings.get(key, []) if after is None else after
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(out) == 500 and {r.seq: (r.key, r.accepted) for r in out} == want
+    last = {r.key: r.siblings for r in sorted(out, key=lambda r: r.seq)}
+    assert last == {k: ",".join(map(str, sorted(s[2] for s in v))) for k, v in siblings.items()}
+    # A row of state, and a call to Python in each batch, for each bucket, not for each key.
+    assert spark.read.format("statestore").load(str(tmp_path / "ck")).count() <= 4
+
+
 def test_update_reads_again_after_a_conflict(spark, tmp_path):
     store = CausalStore(spark, str(tmp_path / "log"))
     schema = "seq bigint, key string, data string"
