@@ -31,6 +31,7 @@ def word_lists(text: bytes) -> Iterator[list[bytes]]:
 
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_BYTES = 4 << 20
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -47,7 +48,7 @@ class Stage:
     """Tables that cut lineage, written as Parquet in the shared folder and read again.
 
     A written table survives the loss of executors and is stored compressed, which a
-    serialised checkpoint is not.
+    serialised checkpoint is not. Shuffle files of its plan go once it is written.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -64,7 +65,12 @@ class Stage:
         """``df`` as written; ``by`` is a column of few values that later filters name, a folder for each."""
         schema, path = df.schema, self.path(name)
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        before = self.spark.conf.get(_CLEANUP_KEY, "false")
+        self.spark.conf.set(_CLEANUP_KEY, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP_KEY, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, df: DataFrame | None) -> None:

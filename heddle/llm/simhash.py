@@ -26,10 +26,12 @@ between them. Links count once the exact similarity of both sets is high enough.
 Fingerprints alone miss links near the threshold, so an exact join between the groups
 found so far follows. Of two sets with a Jaccard similarity of t or more, the larger has
 n shingles and they share t n at the least; in any order of all shingles that both
-follow, their first n - ceil(t n) + 1 have one in common. The order is common shingles
-last, then by hash; which ones count as common changes the work, not the result. Pairs
-that meet under a shingle, of different groups and fitting sizes, are compared by parity
-bits (they differ in no more bits than the sets do in shingles), then shingle by shingle.
+follow, their first n - ceil(t n) + 1 have one in common. The order is by how often a
+shingle's place in a table of counters is taken, seldom first, then by hash; the counters
+change the work, not the result. Shingles that only one set puts first are dropped before
+anything else is known of them. Pairs that meet under the others, of different groups and
+fitting sizes, are compared by parity bits (they differ in no more bits than the sets do
+in shingles), by a few of them where they meet, then by all, then shingle by shingle.
 """
 
 from __future__ import annotations
@@ -54,8 +56,11 @@ _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)))
 _SLICE_BYTES = 2 << 20
 _SMALL_GROUP = 32
 _PIECE = 8192  # hashes whose bits are counted together
-_COMMON, _MOST_COMMON = 16, 1 << 19  # a shingle is common above this count; the most that are held (4 MB)
+_COMMON = 2  # counts up to this one are all equally rare
+_PLACES, _PARTS = 1 << 20, 16  # counters of shingles (4 MB), and the rows that hold them
 _PARITY_BITS = 1 << 16
+_FOLD_BYTES = 128  # parity bits that go along with a shingle
+_COMPARED = 1 << 20  # bytes of parity bits that are compared at once
 _PAIRS = 1 << 20  # pairs held before they are made distinct and sent on
 
 
@@ -346,34 +351,75 @@ def _parity(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(parity: bytes) -> bytes:
+    """Parity bits of fewer places, ``_FOLD_BYTES`` at the most; they bound differences as well, less tightly."""
+    if len(parity) <= _FOLD_BYTES:
+        return parity
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint8).reshape(-1, _FOLD_BYTES), axis=0).tobytes()
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _PLACES.bit_length() + 1)).astype(np.int64)
+
+
+def _short(digest: bytes) -> int:
+    """A node's number of 64 bits, known from its set alone; nodes that share one are both looked at."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     sizes = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
-def _wide_fingerprints(width: int, similarity: float):
-    """From ``(id, mark, text)``: a digest of the set of shingles, the fingerprint that is compared and the two that have keys; size, parity bits and least hashes of the set."""
+def _wide_fingerprints(width: int):
+    """From ``(id, mark, text)``: a digest of the set of shingles, the fingerprint that is compared and the two that have keys, size and parity bits of the set.
+
+    Each task ends with rows that have a ``part`` and nothing else but its counters of shingles.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = np.zeros(_PLACES, np.uint32)
+        schema = None
         for batch in batches:
             for start, texts in _slices(batch.column(2)):
                 sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+                taken += np.bincount(_places(np.concatenate(sets)), minlength=_PLACES).astype(np.uint32)
                 digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 views = [sets]
                 for factor in _MIX:
                     mixed = [x * factor for x in sets]
                     views.append([x ^ (x >> np.uint64(32)) for x in mixed])
                 found = [pa.array(majority(v).view(np.int64)) for v in views]
-                found += [pa.array([len(x) for x in sets], pa.int32()), pa.array([_parity(x) for x in sets], pa.binary())]
-                found.append(_lists([x[: _prefix_length(len(x), similarity)] for x in sets]))
-                yield pa.RecordBatch.from_arrays(
+                parities = [_parity(x) for x in sets]
+                found += [pa.array([len(x) for x in sets], pa.int32()), pa.array(parities, pa.binary()), pa.array(map(_folded, parities), pa.binary())]
+                found += [pa.array(map(_short, digests), pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+                out = pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(start, len(texts)) for k in (0, 1)] + [pa.array(digests, pa.binary()), *found],
-                    ["id", "mark", "digest", "fp", "a", "b", "size", "parity", "least"],
+                    ["id", "mark", "digest", "fp", "a", "b", "size", "parity", "fold", "short", "part", "counts"],
                 )
+                schema = out.schema
+                yield out
+        if schema is not None:
+            for part, counts in enumerate(np.split(taken, _PARTS)):
+                own = {"part": pa.array([part], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())}
+                yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
 
     return run
 
 
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``(part, counts)``: the sum of each part."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts = np.frombuffer(counts.as_py(), np.uint32)
+            total = sums.setdefault(part, np.zeros(len(counts), np.uint32))
+            total += np.minimum(counts, ~total)  # stays at the largest number
+    for part, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+
 def _wide_keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp, *wide = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -393,23 +439,34 @@ def _shingle_sets(width: int):
     return run
 
 
-def _prefixes(width: int, similarity: float, common: np.ndarray):
-    """From ``(id, mark, text)``: the first shingles of each set, those in ``common`` (sorted) after all others."""
+def _prefixes(width: int, similarity: float, counts: np.ndarray):
+    """From texts: ``(shingle, short)`` for the first shingles of each set, by counts of their places, then by hash."""
 
     def first(hashes: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
-        last = common[place] == hashes if len(common) else np.zeros(len(hashes), bool)
-        return np.concatenate([hashes[~last], hashes[last]])[: _prefix_length(len(hashes), similarity)]
+        return hashes[np.argsort(counts[_places(hashes)], kind="stable")[: _prefix_length(len(hashes), similarity)]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in _slices(batch.column(2)):
-                lists = _lists([first(np.unique(shingle_hashes(t, width))) for t in texts])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in (0, 1)), lists], ["id", "mark", "shingles"])
+            for _, texts in _slices(batch.column(0)):
+                sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+                firsts = [first(x) for x in sets]
+                shorts = np.array([_short(xxhash.xxh3_128_digest(x.tobytes())) for x in sets], np.int64)
+                rows = [np.concatenate(firsts).view(np.int64), np.repeat(shorts, [len(x) for x in firsts])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["shingle", "short"])
 
     return run
 
 
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``(shingle, short)`` in order: each row once, without shingles of one set."""
+    for shingle, short in _whole_keys(batches):
+        new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (short[1:] != short[:-1])])
+        shingle, short = shingle[new], short[new]
+        same = shingle[1:] == shingle[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[several]), pa.array(short[several])], ["shingle", "short"])
+
+
 def _whole_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of batches sorted by the first one, cut anew so that no key is in two parts."""
     held: list[list[np.ndarray]] = []
@@ -427,45 +484,79 @@ def _whole_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
 
-def _pairs_of_small(key: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of nodes under one key, of different labels and fitting sizes, in keys of few rows."""
+def _pairs_of_small(key: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of places under one key, of different labels and fitting sizes, in keys of few rows."""
     for apart in range(1, min(_SMALL_GROUP, len(key))):
         at = np.nonzero(key[apart:] == key[:-apart])[0]
         if not len(at):
             break
         to = at + apart
         fits = (label[at] != label[to]) & (np.minimum(size[at], size[to]) >= similarity * np.maximum(size[at], size[to]) - 1e-9)
-        yield np.stack([node[at[fits]], node[to[fits]]])
+        yield np.stack([at[fits], to[fits]])
 
 
-def _pairs_of_large(node: np.ndarray, label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+def _pairs_of_large(label: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
     """The same for the rows of one key; those of its largest label are met by others only, so that a large group costs time in proportion."""
     by_size = np.argsort(size, kind="stable")
-    node, label, size = node[by_size], label[by_size], size[by_size]
+    label, size = label[by_size], size[by_size]
     names, counts = np.unique(label, return_counts=True)
     largest = label == names[counts.argmax()]
     low = np.searchsorted(size, similarity * size - 1e-9, "left")
     high = np.searchsorted(similarity * size - 1e-9, size, "right")
-    place = np.arange(len(node))
+    place = np.arange(len(label))
     for k in np.nonzero(~largest)[0]:
         window = slice(low[k], high[k])
-        other = node[window][(label[window] != label[k]) & (largest[window] | (place[window] > k))]
+        other = by_size[window][(label[window] != label[k]) & (largest[window] | (place[window] > k))]
         if len(other):
-            yield np.stack([np.full(len(other), node[k]), other])
+            yield np.stack([np.full(len(other), by_size[k]), other])
+
+
+def _folds_fit(folds: np.ndarray, size: np.ndarray, similarity: float):
+    """Which pairs of places (two rows) have parity bits that allow the similarity."""
+    words = np.fromiter(map(len, folds), np.int64, len(folds)) // 8
+    starts = np.cumsum(words) - words
+    flat = np.frombuffer(b"".join(folds), np.uint64)
+
+    def read(at: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(at), width), np.uint64)
+        for own in np.unique(words[at]):
+            rows = np.nonzero(words[at] == own)[0]
+            out[rows] = np.bitwise_xor.reduce(flat[starts[at[rows]][:, None] + np.arange(own)].reshape(len(rows), -1, width), axis=1)
+        return out
+
+    def fit(pairs: np.ndarray) -> np.ndarray:
+        width, apart = words[pairs].min(axis=0), np.zeros(pairs.shape[1], np.int64)
+        for own in np.unique(width):
+            rows = np.nonzero(width == own)[0]
+            step = max(1, _COMPARED // (8 * int(own)))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                apart[part] = np.bitwise_count(read(pairs[0, part], own) ^ read(pairs[1, part], own)).sum(axis=1)
+        return (1 + similarity) * apart <= (1 - similarity) * size[pairs].sum(axis=0) + 1e-6
+
+    return fit
 
 
 def _pairs_under_keys(similarity: float):
-    """From ``(shingle, node, label, size)`` sorted by shingle: pairs of nodes that may be similar, repeats left out as far as they are at hand."""
+    """From ``(shingle, node, label, size, fold)`` sorted by shingle: pairs of nodes that may be similar, repeats left out as far as they are at hand.
+
+    ``fold`` holds parity bits; without it, pairs of fitting sizes are found.
+    """
+
+    def met(key: np.ndarray, label: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+        bounds = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+        sizes = np.diff(bounds)
+        for k in np.nonzero(sizes > _SMALL_GROUP)[0]:
+            own = slice(bounds[k], bounds[k + 1])
+            yield from (bounds[k] + pairs for pairs in _pairs_of_large(label[own], size[own], similarity))
+        small = np.nonzero(np.repeat((sizes > 1) & (sizes <= _SMALL_GROUP), sizes))[0]
+        yield from (small[pairs] for pairs in _pairs_of_small(key[small], label[small], size[small], similarity))
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for key, node, label, size in _whole_keys(batches):
-            bounds = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
-            sizes = np.diff(bounds)
-            for k in np.nonzero(sizes > _SMALL_GROUP)[0]:
-                own = slice(bounds[k], bounds[k + 1])
-                yield from _pairs_of_large(node[own], label[own], size[own], similarity)
-            small = np.repeat((sizes > 1) & (sizes <= _SMALL_GROUP), sizes)
-            yield from _pairs_of_small(key[small], node[small], label[small], size[small], similarity)
+        for key, node, label, size, *folds in _whole_keys(batches):
+            fit = _folds_fit(folds[0], size, similarity) if folds else None
+            for pairs in met(key, label, size):
+                yield node[pairs[:, fit(pairs)] if fit else pairs]
 
     def sent(parts: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.unique(np.sort(np.concatenate(parts, axis=1), axis=0), axis=1)
@@ -512,10 +603,11 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, width: int, simila
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.select("id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    columns = f"id {kind}, mark bigint, digest binary, fp bigint, a bigint, b bigint, size int, parity binary, least array<bigint>"
-    marked = stage.table(texts.mapInArrow(_wide_fingerprints(width, similarity), columns), "marked")
+    columns = f"id {kind}, mark bigint, digest binary, fp bigint, a bigint, b bigint, size int, parity binary, fold binary, short bigint, part int, counts binary"
+    passed = stage.table(texts.mapInArrow(_wide_fingerprints(width), columns), "marked")
+    marked = passed.where("part IS NULL")
     # Rows with equal sets are one node; of nodes with equal fingerprints one, the hub, looks for others.
-    nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("fp", "a", "b", "size", "parity")])
+    nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.max(c).alias(c) for c in ("fp", "a", "b", "size", "parity", "fold", "short")])
     nodes = stage.table(nodes.withColumn("number", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("fp", "a", "b").distinct().mapInArrow(_wide_keyed, "key int, fp bigint")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
@@ -524,11 +616,14 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, width: int, simila
     hubs = stage.table(hubs.select("fp", F.col("hub.digest").alias("hub_digest"), F.col("hub.first").alias("first"), "n"), "hubs")
     others = nodes.join(hubs.where("n > 1").select(F.col("fp").alias("h_fp"), "hub_digest"), F.col("fp") == F.col("h_fp")).where("digest != hub_digest")
 
+    spent = [close]
+
     def shingles_of(wanted: DataFrame, key: str) -> DataFrame:
         """``(node, shingles)`` for the rows of ``wanted (key, first)``."""
         wanted = wanted.select(F.col(key).alias("node"), F.col("first.id").alias("n_id"), F.col("first.mark").alias("n_mark"))
         read = texts.join(wanted, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark"))).select("node", "text").dropDuplicates(["node"])
-        return stage.table(read.mapInArrow(_shingle_sets(width), f"node {wanted.schema['node'].dataType.simpleString()}, shingles array<bigint>"), "shingles")
+        spent.append(stage.table(read.mapInArrow(_shingle_sets(width), f"node {wanted.schema['node'].dataType.simpleString()}, shingles array<bigint>"), "shingles"))
+        return spent[-1]
 
     def alike(left: Column, right: Column) -> Column:
         both = F.size(F.array_intersect(left, right))
@@ -546,18 +641,22 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, width: int, simila
     rooted = nodes.join(components, F.col("fp") == F.col("node"), "left").join(member, F.col("digest") == F.col("m_digest"), "left")
     root = F.when(F.col("m_digest").isNotNull(), F.concat(F.lit("fp "), F.coalesce("component", "fp"))).otherwise(F.hex("digest"))
     rooted = stage.table(rooted.select("digest", "number", "first", root.alias("root")), "rooted")
+    for table in spent:
+        stage.drop(table)
     labels = rooted.groupBy("root").agg(F.min("number").alias("label"))
     labelled = stage.table(rooted.join(labels, "root").select("digest", "number", "first", "label"), "labelled")
 
     # Links that fingerprints missed, between the groups so far.
-    counts = marked.select(F.explode("least").alias("shingle")).groupBy("shingle").count().where(F.col("count") > _COMMON)
-    heaviest = counts.orderBy(F.desc("count"), "shingle").limit(_MOST_COMMON).select("shingle").toArrow()
-    common = np.sort(heaviest["shingle"].to_numpy().view(np.uint64))
-    first_ones = texts.mapInArrow(_prefixes(width, similarity, common), f"id {kind}, mark bigint, shingles array<bigint>")
-    owners = labelled.join(nodes.select("digest", "size"), "digest").select(F.col("first.id").alias("n_id"), F.col("first.mark").alias("n_mark"), "number", "label", "size")
-    placed = first_ones.join(owners, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark")))
-    placed = placed.select(F.explode("shingles").alias("shingle"), "number", "label", "size")
-    met = placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_pairs_under_keys(similarity), "u bigint, v bigint")
+    partial = passed.where("part IS NOT NULL").select("part", "counts").mapInArrow(_summed, "part int, counts binary")
+    summed = partial.repartition("part").mapInArrow(_summed, "part int, counts binary").toArrow().sort_by("part")
+    counts = np.frombuffer(b"".join(summed["counts"].to_pylist()) or bytes(4 * _PLACES), np.uint32)
+    counts = np.where(counts > _COMMON, counts, 0).astype(np.uint32)
+    placed = texts.select("text").mapInArrow(_prefixes(width, similarity, counts), "shingle bigint, short bigint")
+    shared = placed.repartition("shingle").sortWithinPartitions("shingle", "short").mapInArrow(_shared, "shingle bigint, short bigint")
+    shared = stage.table(shared, "shared")
+    owners = labelled.join(nodes.select("digest", "short", "size", "fold"), "digest").select("short", "number", "label", "size", "fold")
+    owned = shared.join(owners, "short").select("shingle", "number", "label", "size", "fold")
+    met = owned.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_pairs_under_keys(similarity), "u bigint, v bigint")
     met = stage.table(met.distinct(), "met")
     compared = lambda c: nodes.select(F.col("number").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}"))
     compared = met.join(compared("u"), "u").join(compared("v"), "v").select("u", "v", "size_u", "size_v", "parity_u", "parity_v")

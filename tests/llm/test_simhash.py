@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +177,58 @@ def test_no_link_at_the_threshold_is_missed(documents, monkeypatch):
     assert {r.doc_id for r in simhash.representatives(documents(rows)).collect()} == want
 
 
+def test_a_shared_passage_makes_no_pairs(documents, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(20000)]
+    passage, rows = rng.choices(words, k=150), []
+    for n in range(150):  # 150 of some 210 words are those of all others
+        rows.append((n, " ".join(passage + rng.choices(words, k=60))))
+        if n % 10 == 0:
+            text = rows[-1][1].split()
+            for place in (40, 80, 120, 195):
+                text[place] = "x"
+            rows.append((1000 + n, " ".join(text)))
+    made, table = {}, Stage.table
+
+    def counted(self, df, name, by=None):
+        out = table(self, df, name, by)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stage, "table", counted)
+    assert sorted(r.doc_id for r in simhash.representatives(documents(rows)).collect()) == list(range(150))
+    assert made["met"] <= len(rows)  # they were 13,515
+
+
+def test_folded_parity_bits_lose_no_similar_pair():
+    rng = np.random.default_rng(9)
+    sets, near = [], []
+    for n in (1, 5, 30, 33, 130, 600, 2500, 20000):
+        for _ in range(6):
+            base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            gone = n // 9  # of either set: a similarity of 0.8
+            near.append((len(sets), len(sets) + 1))
+            sets += [base, np.concatenate([base[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)])]
+    sizes = np.array([len(x) for x in sets])
+    folds = np.array([simhash._folded(simhash._parity(x)) for x in sets], object)
+    assert max(map(len, folds)) == simhash._FOLD_BYTES
+    fit = simhash._folds_fit(folds, sizes, 0.8)
+    assert fit(np.array(near).T).all()
+    other = np.array([(a, b) for a in range(len(sets)) for b in range(a) if 30 < sizes[a] < 1000 and 0.8 * sizes[a] <= sizes[b] <= sizes[a] / 0.8 and a // 2 != b // 2]).T
+    assert other.shape[1] > 100 and not fit(other).any()
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = kept(), spark.conf.get(key)
+    made = Stage(spark, "t").table(spark.range(5000).repartition(4, "id"), "x")
+    deadline = time.time() + 20
+    while kept() > before and time.time() < deadline:
+        time.sleep(0.1)
+    assert kept() <= before and spark.conf.get(key) == setting and made.count() == 5000
+
+
 def test_pairs_under_keys_against_brute_force(monkeypatch):
     rng = np.random.default_rng(5)
     rows = sorted({(int(k), int(x)) for k, x in zip(rng.integers(0, 40, 3000) ** 2 // 300, rng.integers(0, 400, 3000), strict=True)})
