@@ -1,4 +1,4 @@
-"""A look-up table over pairs of numbers that numpy reads for many pairs at once."""
+"""Look-up tables that numpy reads for many keys at once: pairs of numbers, and tokens that bytes start with."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ class PairTable:
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed >> np.uint64(20)) & np.uint64(self.mask)).astype(np.int64)
+        return ((mixed >> np.uint64(40)) & np.uint64(self.mask)).astype(np.int64)
 
     def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NEVER`` if there is none) and slot of each pair; the slot leads to the token made."""
@@ -41,3 +41,50 @@ class PairTable:
             there = self.keys[slot[moving]]
             moving = moving[(there != keys[moving]) & (there != -1)]
         return np.where(self.keys[slot] == keys, self.rank[slot], NEVER), slot
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What each pair makes, -1 if it is not in the table."""
+        rank, slot = self.find(a, b)
+        return np.where(rank < NEVER, self.made[slot], -1)
+
+
+class ByteTrie:
+    """The longest of many byte strings, all single bytes among them, that starts at each of many places."""
+
+    def __init__(self, tokens: dict[bytes, int]):
+        steps: dict[tuple[int, int], tuple[int, int]] = {}
+        best, path, before = [-1], [0], b""
+        for token in sorted(tokens):  # in this order the nodes of a token's beginnings are those of the one before
+            known = 0
+            while known < len(before) and token[known] == before[known]:
+                known += 1
+            del path[known + 1 :]
+            for byte in token[known:]:
+                steps[path[-1], byte] = (0, len(best))
+                path.append(len(best))
+                best.append(best[path[-2]])
+            best[path[-1]] = tokens[token]
+            before = token
+        self.best = np.array(best, np.int64)
+        one = [steps[0, b][1] for b in range(256)]
+        self.one = np.array(one, np.int64)
+        self.two = np.array([steps.get((node, b), (0, -1))[1] for node in one for b in range(256)], np.int64)
+        self.steps = PairTable({k: v for k, v in steps.items() if k[0] != 0})
+
+    def longest(self, text: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The longest string in ``text`` at each place that ends by its own end."""
+        node = self.one[text[places]]
+        going = np.nonzero(ends - places >= 2)[0]
+        at = places[going]
+        child = self.two[(text[at].astype(np.int64) << 8) | text[at + 1]]
+        depth = 2
+        while True:
+            hit = np.nonzero(child >= 0)[0]
+            going, child = going[hit], child[hit]
+            node[going] = child
+            more = np.nonzero(ends[going] - places[going] > depth)[0]
+            going, child = going[more], child[more]
+            if not len(going):
+                return self.best[node]
+            child = self.steps.get(child, text[places[going] + depth].astype(np.int64))
+            depth += 1
