@@ -147,3 +147,11 @@ def test_longest_match():
     trie = ByteTrie({bytes([b]): b for b in range(256)} | {b"ab": 300, b"abcd": 301})
     text = np.frombuffer(b"abcdabcab", np.uint8)
     assert trie.longest(text, np.array([0, 0, 1, 4, 7]), np.array([9, 3, 9, 9, 8])).tolist() == [301, 300, ord("b"), 300, ord("a")]
+
+
+def test_results_are_sent_in_small_batches(monkeypatch):
+    monkeypatch.setattr(bpe, "_PIECE_BYTES", 10)
+    part = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["a" * 8, None, "b" * 30, "c"])], ["id", "text"])
+    sent = list(bpe._sent(part, part))
+    assert [len(x) for x in sent] == [2, 1, 1]
+    assert pa.Table.from_batches(sent).equals(pa.Table.from_batches([part]))
