@@ -92,7 +92,7 @@ class SpeculativeBpe:
             self.merges.setdefault((vocab[a], vocab[b]), (rank, made))
             if left[made] < 0:
                 left[made], right[made], made_at[made] = vocab[a], vocab[b], rank
-        self.pairs = PairTable(self.merges)
+        self.pairs = PairTable(self.merges, shift=40)
         self.right_edge, self.right_until = self._edge(right, made_at)
         self.left_edge, self.left_until = self._edge(left, made_at)
         self.byte_ids = [vocab[bytes([b])] for b in range(256)]

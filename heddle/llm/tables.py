@@ -10,7 +10,8 @@ NEVER = np.int64(1 << 40)
 class PairTable:
     """Rank and result by pair, from ``{(a, b): (rank, made)}``: open addressing in numpy arrays."""
 
-    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]], shift: int = 20):
+        self.shift = np.uint64(shift)
         self.mask = (1 << (len(merges) * 4).bit_length()) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.rank = np.full(self.mask + 1, NEVER, np.int64)
@@ -28,7 +29,7 @@ class PairTable:
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed >> np.uint64(40)) & np.uint64(self.mask)).astype(np.int64)
+        return ((mixed >> self.shift) & np.uint64(self.mask)).astype(np.int64)
 
     def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NEVER`` if there is none) and slot of each pair; the slot leads to the token made."""
@@ -69,7 +70,7 @@ class ByteTrie:
         one = [steps[0, b][1] for b in range(256)]
         self.one = np.array(one, np.int64)
         self.two = np.array([steps.get((node, b), (0, -1))[1] for node in one for b in range(256)], np.int64)
-        self.steps = PairTable({k: v for k, v in steps.items() if k[0] != 0})
+        self.steps = PairTable({k: v for k, v in steps.items() if k[0] != 0}, shift=40)
 
     def longest(self, text: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The longest string in ``text`` at each place that ends by its own end."""
