@@ -17,7 +17,8 @@ short are searched again, with more clusters for each vector and wider beams, at
 Clustering has two levels. Centroids are fitted on a sample and bounded in number; a cluster with more
 vectors than a shard may hold is dealt once more, to the nearest of pivots, vectors of its own whose
 number grows with it. A shard that is still too large, as very many near copies make one, is cut
-into blocks with a graph each, and its vectors are searched for in every block.
+into blocks with a graph each, and its vectors are searched for in every block, a block of queries at a time.
+What a block finds is a matrix of flags, so that memory depends on the size of blocks and not on the number of pairs.
 
 Different vectors of a label are nodes with a number of their own, whatever their ids.
 """
@@ -37,12 +38,14 @@ from heddle.llm.shared import Stage, sampled, shuffle_width
 _QUERY_BLOCK = 256
 _BACK, _BACK_MOST = 3, 32
 _LEAST_AUDITED = 64  # queries a shard audits, if it has as many
-_AUDIT_BYTES = 32 << 20  # vectors of a block of the audit across shards
+_AUDIT_BYTES = 8 << 20  # vectors of a block of the audit across shards
 _AUDIT_COLUMNS = 8192
 _ROUNDING = 1e-5  # of cosines in single precision
 _RANKS = 16  # nearest clusters of a vector that the audit looks at
-_PAIRS = 20_000  # pairs whose shards are compared together
-_CHUNK = 50_000  # vectors of a large cluster that are dealt to pivots together
+_PAIRS = 20_000  # pairs that are looked at one by one together
+_CLOSE = 1e-9  # cosines as near to the threshold are computed pair by pair, the same from both sides
+_CHUNK = 10_000  # vectors of a large cluster that are dealt to pivots together
+_CELLS = 1 << 21  # cosines with pivots that are sorted together
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -100,13 +103,13 @@ def _with_way_back(graph: np.ndarray, nearest: int) -> np.ndarray:
     return np.concatenate([graph, back], axis=1)
 
 
-def range_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, vector) pairs with a cosine of ``threshold`` or more that greedy search reaches."""
-    found_q, found_v = [], []
+def range_hits(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, threshold: float, beam: int) -> Iterator[np.ndarray]:
+    """For each block of queries, which vectors with a cosine of ``threshold`` or more greedy search reaches: a row of flags a query."""
     n = len(vectors)
     vectors, queries = vectors.astype(np.float32), queries.astype(np.float32)
     beam = min(beam, n)
     slack = threshold - _ROUNDING  # pairs are verified later
+    edges = _by_target(graph)
     for start in range(0, len(queries), _QUERY_BLOCK):
         block = queries[start : start + _QUERY_BLOCK]
         b = len(block)
@@ -131,21 +134,42 @@ def range_search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np
             opened[live, node] = True
             _visit(vectors, graph, block, live, node, seen, cosine, pool, pool_cos)
         # Range expansion: open everything in range, also what did not fit the beam.
-        while True:
-            q, node = np.nonzero((cosine >= slack) & ~opened)
-            if not len(q):
-                break
-            opened[q, node] = True
-            new = graph[node]
-            fresh = (new >= 0) & ~seen[q[:, None], np.maximum(new, 0)]
-            r, c = np.nonzero(fresh)
-            at_q, at_v = q[r], new[r, c]
-            seen[at_q, at_v] = True
-            cosine[at_q, at_v] = np.einsum("ij,ij->i", block[at_q], vectors[at_v])
-        q, v = np.nonzero(cosine >= slack)
-        found_q.append(q + start)
-        found_v.append(v)
-    return np.concatenate(found_q), np.concatenate(found_v)
+        hit = cosine >= slack
+        new = hit & ~opened
+        while new.any():
+            reached = _across(edges, new) & ~seen
+            seen |= reached
+            at = np.nonzero(reached.any(axis=0))[0]
+            new = np.zeros_like(hit)
+            new[:, at] = reached[:, at] & (block @ vectors[at].T >= slack)
+            hit |= new
+        yield hit
+
+
+def _by_target(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges as (from, to), in order of ``to``."""
+    by, slot = np.nonzero(graph >= 0)
+    to = graph[by, slot]
+    order = np.argsort(to, kind="stable")
+    return by[order], to[order]
+
+
+def _across(edges: tuple[np.ndarray, np.ndarray], marks: np.ndarray) -> np.ndarray:
+    """For each query's row of marked vectors, the vectors that an edge leads to from a marked one.
+
+    The queries of a block are the bits of a few words, so that an edge is followed once for all of them.
+    """
+    by, to = edges
+    bits = np.zeros((marks.shape[1], _QUERY_BLOCK // 8), np.uint8)
+    bits[:, : -(-len(marks) // 8)] = np.packbits(marks, axis=0).T
+    words = bits.view(np.uint64)
+    going = words.any(axis=1)[by]
+    by, to = by[going], to[going]
+    out = np.zeros_like(words)
+    if len(to):
+        first = np.nonzero(np.diff(to, prepend=-1))[0]
+        out[to[first]] = np.bitwise_or.reduceat(words[by], first, axis=0)
+    return np.unpackbits(out.view(np.uint8).T, axis=0, count=len(marks)).astype(bool)
 
 
 def _visit(vectors, graph, block, live, node, seen, cosine, pool, pool_cos) -> None:
@@ -163,8 +187,14 @@ def _visit(vectors, graph, block, live, node, seen, cosine, pool, pool_cos) -> N
     pool[live], pool_cos[live] = np.take_along_axis(joint, best, axis=1), np.take_along_axis(joint_cos, best, axis=1)
 
 
-def audited_search(vectors, ids, graph, queries, query_ids, audit, threshold: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """Range search whose beam doubles until the audited recall is reached.
+def _close(queries: np.ndarray, vectors: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """By brute force, for each block of queries, which vectors have a cosine of ``least`` or more."""
+    for start in range(0, len(queries), _QUERY_BLOCK):
+        yield queries[start : start + _QUERY_BLOCK] @ vectors.T >= least
+
+
+def audited_hits(vectors, ids, graph, queries, query_ids, audit, threshold: float, beam: int, recall: float) -> Iterator[np.ndarray]:
+    """Range search whose beam doubles until the audited recall is reached, as rows of flags for each block of queries.
 
     Audited are the queries flagged in ``audit``, and others spread evenly if those are few. Recall
     is the mean over audited queries that have a match other than themselves, so that no large group
@@ -175,18 +205,71 @@ def audited_search(vectors, ids, graph, queries, query_ids, audit, threshold: fl
     spread = np.linspace(0, max(0, len(queries) - 1), min(_LEAST_AUDITED, len(queries))).astype(np.int64)
     picked = np.nonzero(audit)[0]
     picked = np.union1d(picked, spread) if len(picked) < _LEAST_AUDITED else picked
-    truth = (queries[picked] @ vectors.T >= threshold) & (query_ids[picked][:, None] != ids[None, :])
+    truth = np.concatenate(list(_close(queries[picked], vectors, threshold)))
+    truth &= query_ids[picked][:, None] != ids[None, :]
     linked = truth.any(axis=1)
     picked, truth = picked[linked], truth[linked]
     while len(picked) and beam < len(vectors):
-        q, v = range_search(vectors, graph, entry, queries[picked], threshold, beam)
-        hit = np.zeros_like(truth)
-        hit[q, v] = True
+        hit = np.concatenate(list(range_hits(vectors, graph, entry, queries[picked], threshold, beam)))
         if ((hit & truth).sum(axis=1) / truth.sum(axis=1)).mean() >= recall:
-            return range_search(vectors, graph, entry, queries, threshold, beam)
+            yield from range_hits(vectors, graph, entry, queries, threshold, beam)
+            return
         beam *= 2
-    pairs = [np.nonzero(queries[s : s + _QUERY_BLOCK] @ vectors.T >= threshold - _ROUNDING) for s in range(0, len(queries), _QUERY_BLOCK)]
-    return np.concatenate([q + k * _QUERY_BLOCK for k, (q, _) in enumerate(pairs)]), np.concatenate([v for _, v in pairs])
+    yield from _close(queries, vectors, threshold - _ROUNDING)
+
+
+def audited_search(vectors, ids, graph, queries, query_ids, audit, threshold: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """What ``audited_hits`` finds, as (query row, vector) pairs."""
+    return np.nonzero(np.concatenate(list(audited_hits(vectors, ids, graph, queries, query_ids, audit, threshold, beam, recall))))
+
+
+def _parts(hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A matrix of flags a block of rows at a time, as the rows and columns with a flag and what stands there."""
+    for start in range(0, len(hit), _QUERY_BLOCK):
+        block = hit[start : start + _QUERY_BLOCK]
+        r, c = np.nonzero(block.any(axis=1))[0], np.nonzero(block.any(axis=0))[0]
+        if len(r):
+            yield start + r, c, block[np.ix_(r, c)]
+
+
+def keep_sure(hit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> None:
+    """Take back, in place, pairs whose cosine in double precision is below ``threshold``."""
+    a, b = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
+    x, y = left / a[:, None], right / b[:, None]
+    for r, c, part in _parts(hit):
+        cosine = x[r] @ y[c].T
+        sure = part & (cosine >= threshold)
+        q, v = np.nonzero(part & (np.abs(cosine - threshold) < _CLOSE))
+        for at in range(0, len(q), _PAIRS):
+            i, j = q[at : at + _PAIRS], v[at : at + _PAIRS]
+            sure[i, j] = np.einsum("ij,ij->i", left[r[i]], right[c[j]]) / (a[r[i]] * b[c[j]]) >= threshold
+        hit[np.ix_(r, c)] = sure
+
+
+def first_links(hit: np.ndarray, asking: pd.Series, own: pd.Series, shard: int, copies: np.ndarray) -> np.ndarray:
+    """Rows that each query links with, of the pairs that have no smaller shard than this one in common.
+
+    ``asking`` and ``own`` are the shards of the queries and of the vectors.
+    """
+    lower = np.concatenate(own.to_numpy())
+    lower = np.unique(lower[lower < shard])
+    a, b = _marks(asking, lower), _marks(own, lower)
+    links = np.zeros(len(hit), np.int64)
+    for r, c, part in _parts(hit):
+        for word in range(a.shape[1]):
+            part &= (a[r, word][:, None] & b[c, word]) == 0
+        links[r] = part @ copies[c]
+    return links
+
+
+def _marks(shards: pd.Series, names: np.ndarray) -> np.ndarray:
+    """For each row the bits of those ``names`` that are among its shards, in words."""
+    out = np.zeros((len(shards), -(-len(names) // 64)), np.uint64)
+    row, flat = np.repeat(np.arange(len(shards)), shards.map(len)), np.concatenate(shards.to_numpy())
+    known = np.isin(flat, names)
+    place = np.searchsorted(names, flat[known])
+    np.bitwise_or.at(out, (row[known], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    return out
 
 
 def shared_width(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,7 +287,7 @@ def true_links(ranked: DataFrame, threshold: float) -> DataFrame:
     """
     rows = F.greatest(F.lit(256), F.floor(_AUDIT_BYTES / (8 * F.size("vector"))))
     sizes = ranked.groupBy("label").agg(
-        F.ceil(F.count(F.lit(1)) / F.min(rows)).cast("int").alias("data_blocks"), F.ceil(F.sum(F.col("audited").cast("int")) / (F.min(rows) / 4)).cast("int").alias("query_blocks")
+        F.ceil(F.count(F.lit(1)) / F.min(rows)).cast("int").alias("data_blocks"), F.ceil(F.sum(F.col("audited").cast("int")) / F.min(rows)).cast("int").alias("query_blocks")
     )
     dealt = ranked.join(sizes.where("query_blocks > 0"), "label").withColumn("hash", F.xxhash64("key"))
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
@@ -244,13 +327,7 @@ def mean_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def _rows(lists: pd.Series) -> np.ndarray:
-    """Lists as rows of a matrix, filled up with their last entry."""
-    width = max(map(len, lists))
-    return np.stack([np.pad(x, (0, width - len(x)), "edge") for x in lists]).astype(np.int64)
+    return np.stack(column.to_numpy()).astype(np.float64, copy=False)
 
 
 def centroids(distinct: DataFrame, shard_rows: int, sample_rows: int, most: int, rounds: int = 5) -> dict[str, np.ndarray]:
@@ -316,8 +393,10 @@ def _pivot_shards(stage: Stage, large: DataFrame, overlap: int) -> DataFrame:
         first = np.int64(vectors["cluster"].iloc[0]) << 32
         shards = np.full((len(vectors), 1), first)
         if len(pivots):
-            order = np.argsort(-(_unit(_matrix(vectors["vector"])) @ _unit(_matrix(pivots["vector"])).T), axis=1, kind="stable")[:, :overlap]
-            shards = first + pivots["number"].to_numpy()[order]
+            points, centres = _unit(_matrix(vectors["vector"])), _unit(_matrix(pivots["vector"]))
+            rows = max(1, _CELLS // len(centres))
+            order = [np.argsort(-(points[s : s + rows] @ centres.T), axis=1, kind="stable")[:, :overlap] for s in range(0, len(points), rows)]
+            shards = first + pivots["number"].to_numpy()[np.concatenate(order)]
         return pd.DataFrame({"node": vectors["node"], "shards": list(shards)})
 
     keys = ("label", "cluster", "chunk")
@@ -350,51 +429,42 @@ def _searched(spark, stage: Stage, ranked: DataFrame, widths: dict[str, int], ov
         return pd.DataFrame({"node": nodes, "near": [nodes[g[g >= 0]] for g in graph]})
 
     # A number of tasks by shards, as a shard's bytes say little about its work.
-    tasks = max(shuffle_width(spark), min(10_000, sizes.agg(F.sum("blocks")).first()[0] or 1))
+    tasks = max(shuffle_width(spark), min(10_000, sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 1))
     lists = members.repartition(tasks, "label", "shard", "block").groupBy("label", "shard", "block").applyInPandas(build, "node bigint, near array<bigint>")
     united = stage.table(lists.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "lists")
 
-    # Each shard gets its block's vectors with their united lists, and every vector of the shard as a query.
-    data = members.join(united, "node", "left").withColumn("is_data", F.lit(True))
-    others = members.where("blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to != block")
+    # Blocks of a shard meet in pairs, a group each: a block's vectors with their united lists, and those of the block that asks.
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    data = members.join(united, "node", "left").withColumn("is_data", F.lit(True)).withColumn("asked_by", every)
+    others = members.where("blocks > 1").withColumn("asked_by", F.col("block")).withColumn("to", every).where("to != asked_by")
     queries = others.withColumn("block", F.col("to")).drop("to").withColumn("near", F.lit(None).cast("array<bigint>")).withColumn("is_data", F.lit(False))
-    columns = ["label", "shard", "block", "node", "copies", "vector", "audited", "shards", "near", "is_data"]
-    searched = data.select(columns).unionByName(queries.select(columns)).repartition(tasks, "label", "shard", "block")
+    columns = ["label", "shard", "block", "asked_by", "node", "copies", "vector", "audited", "shards", "near", "is_data"]
+    searched = data.select(columns).unionByName(queries.select(columns)).repartition(tasks, "label", "shard", "block", "asked_by")
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         own = shard[shard["is_data"]]
-        vectors, nodes = _unit(_matrix(own["vector"])), own["node"].to_numpy()
+        inside = shard["block"].iloc[0] == shard["asked_by"].iloc[0]
+        asking = own if inside else shard[~shard["is_data"]]
+        if not len(own) or not len(asking):
+            return pd.DataFrame({"label": [], "node": [], "links": [], "root": []})
+        right, nodes = _matrix(own["vector"]), own["node"].to_numpy()
+        left, ids = _matrix(asking["vector"]), asking["node"].to_numpy()
         place = {r: k for k, r in enumerate(nodes.tolist())}
         lists = [[place[x] for x in (near if near is not None else ()) if x in place] for near in own["near"]]
         graph = np.full((len(own), max([1, *map(len, lists)])), -1, np.int64)
         for k, near in enumerate(lists):
             graph[k, : len(near)] = near
-        points, ids = _unit(_matrix(shard["vector"])), shard["node"].to_numpy()
-        q, v = audited_search(vectors, nodes, graph, points, ids, shard["audited"].to_numpy(), threshold, beam, recall)
-        other = ids[q] != nodes[v]
-        q, v = q[other], v[other]
-        # What one side of a pair within the block found, both have.
-        inside = np.array([place.get(i, -1) for i in ids.tolist()], np.int64)
-        row_of = np.nonzero(inside >= 0)[0][np.argsort(inside[inside >= 0])]
-        both = inside[q] >= 0
-        q, v = np.concatenate([q, row_of[v[both]]]), np.concatenate([v, inside[q[both]]])
-        q, v = np.divmod(np.unique(q * np.int64(len(nodes)) + v), len(nodes))
-        left, right = _matrix(shard["vector"]), _matrix(own["vector"])
-        sure = np.einsum("ij,ij->i", left[q], right[v]) / (np.linalg.norm(left, axis=1)[q] * np.linalg.norm(right, axis=1)[v]) >= threshold
-        q, v = q[sure], v[sure]
+        hit = np.concatenate(list(audited_hits(_unit(right), nodes, graph, _unit(left), ids, asking["audited"].to_numpy(), threshold, beam, recall)))
+        if inside:
+            np.fill_diagonal(hit, False)
+            hit |= hit.T  # what one side of a pair found, both have
+        keep_sure(hit, left, right, threshold)
         # A pair that shares several shards counts in the first of them.
-        a, b = _rows(shard["shards"]), _rows(own["shards"])
-        first = np.zeros(len(q), bool)
-        for at in range(0, len(q), _PAIRS):
-            x, y = a[q[at : at + _PAIRS]], b[v[at : at + _PAIRS]]
-            common = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, np.iinfo(np.int64).max).min(axis=1)
-            first[at : at + _PAIRS] = common == shard["shard"].iloc[0]
-        links = np.bincount(q[first], own["copies"].to_numpy()[v[first]], len(shard)).astype(np.int64)
+        links = first_links(hit, asking["shards"], own["shards"], shard["shard"].iloc[0], own["copies"].to_numpy())
         # Links of the shard reduced to stars around their smallest nodes.
-        root = _roots(q, v, ids, nodes)
-        return pd.DataFrame({"label": shard["label"].iloc[0], "node": ids, "links": links, "root": root})
+        return pd.DataFrame({"label": shard["label"].iloc[0], "node": ids, "links": links, "root": _roots(hit, ids, nodes)})
 
-    return searched.groupBy("label", "shard", "block").applyInPandas(search, "label string, node bigint, links bigint, root bigint")
+    return searched.groupBy("label", "shard", "block", "asked_by").applyInPandas(search, "label string, node bigint, links bigint, root bigint")
 
 
 def near_duplicates(
@@ -495,17 +565,16 @@ def near_duplicates(
     )
 
 
-def _roots(q: np.ndarray, v: np.ndarray, ids: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+def _roots(hit: np.ndarray, ids: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """For each row, the smallest node that the shard's pairs connect it with."""
     names, place = np.unique(np.concatenate([ids, nodes]), return_inverse=True)
-    a, b = place[: len(ids)][q], place[len(ids) :][v]
-    label = np.arange(len(names))
-    while len(a):
-        least = np.minimum(label[a], label[b])
+    left, right = place[: len(ids)], place[len(ids) :]
+    label, before = np.arange(len(names)), None
+    while before is None or (label != before).any():
         before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
+        for r, c, part in _parts(hit):
+            a, b = left[r], right[c]
+            label[a] = np.minimum(label[a], np.where(part, label[b], len(names)).min(axis=1))
+            label[b] = np.minimum(label[b], np.where(part, label[a][:, None], len(names)).min(axis=0))
         label = label[label]
-        if (label == before).all():
-            break
-    return names[label[place[: len(ids)]]]
+    return names[label[left]]

@@ -1,7 +1,10 @@
+import os
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from heddle.llm import graph, templates
@@ -170,3 +173,99 @@ def test_shared_width():
     a = np.array([[4, 2, 7], [1, 2, 3], [5, 6, 7]])
     b = np.array([[4, 1, 0], [9, 8, 1], [1, 2, 3]])
     assert graph.shared_width(a, b).tolist() == [1, 3, 4]
+
+
+def worker_peaks():
+    """The most MB that each Python process below this one has held so far."""
+    peak, parent = {}, {}
+    for path in Path("/proc").glob("[0-9]*/status"):
+        try:
+            of = dict(line.split(":", 1) for line in path.read_text().splitlines() if ":" in line)
+        except OSError:
+            continue
+        parent[int(path.parent.name)] = int(of["PPid"])
+        if of["Name"].strip().startswith("python") and "VmHWM" in of:
+            peak[int(path.parent.name)] = int(of["VmHWM"].split()[0]) / 1024
+
+    def below(p):
+        while p := parent.get(p):
+            if p == os.getpid():
+                return True
+        return False
+
+    return {p: mb for p, mb in peak.items() if below(p)}
+
+
+def test_memory_does_not_follow_the_pairs_of_a_large_group(spark):
+    rng = np.random.default_rng(8)
+    group = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.08
+    unit = graph._unit(np.concatenate([group, *pairs_at(rng, 50, 64, 0.99)]))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(unit)], "vec_id bigint, embedding array<double>, label int")
+    before = worker_peaks()
+    found = {r.vec_id: (r.n_links, r.component_id) for r in graph.near_duplicates(df).collect()}
+    after = worker_peaks()
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want[:1500].min() > 1400 and set(want[1500:]) == {1}
+    assert np.mean([found[k][0] / n for k, n in enumerate(want)]) >= 0.99 and all(found[k][0] <= n for k, n in enumerate(want))
+    assert {found[k][1] for k in range(1500)} == {0} and np.mean([found[k][1] == 1500 + k % 50 for k in range(1500, 1600)]) >= 0.9
+    # Two million pairs, whose vectors alone are 2 GB.
+    assert max(mb for p, mb in after.items() if mb > before.get(p, 0)) < 700
+
+
+def test_flags_of_a_block():
+    rng = np.random.default_rng(9)
+    nodes, ids = rng.permutation(1000)[:400], 1000 + rng.permutation(1000)[:600]
+    hit = rng.random((600, 400)) < 0.0015
+    hit[300] = rng.random(400) < 0.5
+    copies = rng.integers(1, 5, 400)
+    lists = lambda n: [sorted({70, *rng.choice(200, 3).tolist()}) for _ in range(n)]
+    asking, own = lists(600), lists(400)
+    links, root = graph.first_links(hit, pd.Series(asking), pd.Series(own), 70, copies), graph._roots(hit, ids, nodes)
+    for q in range(600):
+        assert links[q] == sum(copies[v] for v in np.nonzero(hit[q])[0] if min({*asking[q]} & {*own[v]}) == 70)
+        rows, columns = {q}, set()
+        while True:
+            more = {v for r in rows for v in np.nonzero(hit[r])[0]} - columns
+            if not more:
+                break
+            columns |= more
+            rows |= {r for v in columns for r in np.nonzero(hit[:, v])[0]}
+        assert root[q] == min([ids[q], *(ids[r] for r in rows), *(nodes[v] for v in columns)])
+
+
+def test_pairs_near_the_threshold_are_judged_alike_from_both_sides():
+    a, b = pairs_at(np.random.default_rng(10), 300, 16, 0.98)
+    a, b = a * np.linspace(0.1, 9, 300)[:, None], b * np.linspace(7, 0.2, 300)[:, None]
+    want = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)) >= 0.98
+    one, other = np.ones((300, 300), bool), np.ones((300, 300), bool)
+    graph.keep_sure(one, a, b, 0.98)
+    graph.keep_sure(other, b, a, 0.98)
+    assert (one == other.T).all() and (one.diagonal() == want).all() and 0 < want.sum() < 300 and one.sum() == want.sum()
+
+
+def test_range_expansion_follows_every_edge():
+    rng = np.random.default_rng(11)
+    vectors = graph._unit(rng.normal(size=16) + rng.normal(size=(700, 16)) * 0.045)
+    edges = np.where(rng.random((700, 3)) < 0.6, rng.integers(0, 700, (700, 3)), -1)
+    queries = vectors[:330]
+    near = vectors.astype(np.float32) @ vectors.astype(np.float32).T >= 0.98 - 1e-5
+    for start, hit in zip((0, 256), graph.range_hits(vectors, edges, 5, queries, 0.98, 1), strict=True):
+        for k, row in enumerate(hit):
+            q, seen, todo = start + k, {5}, [5]
+            best = vectors @ vectors[q]
+            # The beam of one walks to the nearest vector it sees; from all in range it goes on.
+            at = 5
+            while len(new := [v for v in edges[at] if v >= 0 and v not in seen]):
+                seen |= {*new}
+                if best[new].max() <= best[at]:
+                    break
+                at = max(new, key=lambda v: best[v])
+            todo = [v for v in seen if near[q, v]]
+            reached = set(seen)
+            while todo:
+                for v in edges[todo.pop()]:
+                    if v >= 0 and v not in reached:
+                        reached.add(v)
+                        if near[q, v]:
+                            todo.append(v)
+            assert set(np.nonzero(row)[0]) == {v for v in reached if near[q, v]}
